@@ -1,2 +1,163 @@
-"""More oracle SQL (text, time, similarity, history)."""
+"""More oracle SQL (text, time)."""
+
+from quillstat.functions import lexicons as L
+
+from .sql import URL, W, _q
+
+STOP = "[" + ", ".join(_q(w) for w in L.STOPWORDS) + "]"
 SQL: dict[str, str] = {}
+
+_TOKENS = f"""
+, tk AS (SELECT post_id, sentiment,
+           unnest(regexp_extract_all(regexp_replace(lower(comment_text), {URL}, '', 'g'),
+                                     '([#@]?[\\p{{L}}\\p{{N}}_]+)', 1)) AS word
+         FROM enriched),
+kp AS (SELECT * FROM tk WHERE word LIKE '#%' OR word LIKE '@%'
+         OR (NOT list_contains({STOP}, word) AND NOT regexp_full_match(word, '\\p{{Nd}}+') AND length(word) >= 3)),
+tc AS (SELECT post_id, word, count(*) AS c_all,
+         count(*) FILTER (WHERE sentiment = 'positive') AS c_pos,
+         count(*) FILTER (WHERE sentiment = 'negative') AS c_neg
+       FROM kp GROUP BY ALL),
+sc AS (SELECT * FROM (
+         SELECT post_id, word, 'all' AS scope, c_all AS count FROM tc
+         UNION ALL SELECT post_id, word, 'pos', c_pos FROM tc
+         UNION ALL SELECT post_id, word, 'neg', c_neg FROM tc) WHERE count > 0),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY post_id, scope ORDER BY count DESC, word ASC) AS BIGINT) AS rank
+       FROM sc)
+"""
+
+SQL["keyword_counts"] = W(_TOKENS + """
+SELECT post_id, scope, rank, word, count FROM rk
+WHERE rank <= CASE scope WHEN 'all' THEN 15 ELSE 10 END
+""")
+
+SQL["top_keyword"] = W(_TOKENS + """
+SELECT p.post_id, coalesce(r.word, '') AS top_keyword
+FROM (SELECT DISTINCT post_id FROM enriched) p
+LEFT JOIN (SELECT post_id, word FROM rk WHERE scope = 'all' AND rank = 1) r USING (post_id)
+""")
+
+SQL["hashtag_counts"] = W("""
+, tg AS (SELECT post_id, unnest(regexp_split_to_array(coalesce(comment_text, ''), '\\s+')) AS tag FROM enriched),
+c AS (SELECT post_id, tag, count(*) AS count FROM tg WHERE tag LIKE '#%' GROUP BY ALL)
+SELECT * FROM (SELECT post_id, tag, count,
+  CAST(row_number() OVER (PARTITION BY post_id ORDER BY count DESC, tag ASC) AS BIGINT) AS rank FROM c)
+WHERE rank <= 10
+""")
+
+_BINS = """
+, tm AS (SELECT post_id, cid, epoch_us(created_time) AS us, emotion, sentiment, total_reactions
+         FROM enriched WHERE created_time IS NOT NULL),
+pb AS (SELECT post_id, min(us) AS tmin, max(us) AS tmax FROM tm GROUP BY post_id),
+pw AS (SELECT *, CAST(CASE WHEN greatest(1e-6, (tmax - tmin) / 3.6e9) <= 6 THEN 900 ELSE 3600 END AS BIGINT) AS width_s
+       FROM pb),
+pw2 AS (SELECT *, CAST(floor(tmin / (width_s * 1000000)) AS BIGINT) AS b0,
+               CAST(floor(tmax / (width_s * 1000000)) AS BIGINT) AS b1 FROM pw),
+tb AS (SELECT tm.*, pw2.width_s, pw2.b0, CAST(floor(us / (pw2.width_s * 1000000)) AS BIGINT) AS bin
+       FROM tm JOIN pw2 USING (post_id)),
+cnt AS (SELECT post_id, bin, count(*) AS c FROM tb GROUP BY ALL),
+sp AS (SELECT post_id, width_s, b0, unnest(generate_series(b0, b1)) AS bin FROM pw2),
+tl AS (SELECT sp.post_id, sp.bin - sp.b0 AS idx, sp.bin, sp.width_s, coalesce(cnt.c, 0) AS count,
+              strftime(make_timestamp(sp.bin * sp.width_s * 1000000), '%Y-%m-%d %H:%M') AS t
+       FROM sp LEFT JOIN cnt USING (post_id, bin))
+"""
+
+SQL["timeline"] = W(_BINS + "SELECT post_id, idx, t, count, width_s FROM tl")
+
+SQL["daily_timeline"] = W("""
+SELECT post_id, strftime(created_time, '%Y-%m-%d') AS day, count(*) AS count
+FROM enriched WHERE created_time IS NOT NULL GROUP BY ALL
+""")
+
+SQL["forecast_next_day"] = W("""
+, d AS (SELECT post_id, strftime(created_time, '%Y-%m-%d') AS day, count(*) AS c
+        FROM enriched WHERE created_time IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY day DESC) AS rn FROM d),
+p AS (SELECT post_id, max(c) FILTER (WHERE rn = 1) AS last, max(c) FILTER (WHERE rn = 2) AS prev,
+             count(*) FILTER (WHERE rn <= 2) AS n_days FROM r GROUP BY post_id),
+n AS (SELECT post_id, count(*) AS n FROM enriched GROUP BY post_id)
+SELECT n.post_id, CAST(CASE WHEN n.n >= 30 AND p.n_days >= 2 THEN greatest(0, 2 * p.last - p.prev) END AS BIGINT)
+       AS forecast
+FROM n LEFT JOIN p USING (post_id)
+""")
+
+_STACK = _BINS + """
+, ec AS (SELECT post_id, emotion, count(*) AS n FROM enriched WHERE emotion IS NOT NULL GROUP BY ALL),
+te AS (SELECT post_id, emotion FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY n DESC, emotion ASC) AS rn
+       FROM ec) WHERE rn <= 5),
+bc AS (SELECT post_id, bin, emotion, count(*) AS c FROM tb WHERE emotion IS NOT NULL GROUP BY ALL),
+ne AS (SELECT DISTINCT post_id, bin FROM bc),
+st AS (SELECT ne.post_id, ne.bin, te.emotion, coalesce(bc.c, 0) AS count, pw2.width_s
+       FROM ne JOIN te USING (post_id) JOIN pw2 USING (post_id)
+       LEFT JOIN bc ON bc.post_id = ne.post_id AND bc.bin = ne.bin AND bc.emotion = te.emotion)
+"""
+
+SQL["emotion_stack"] = W(_STACK + """
+SELECT post_id, bin,
+  CASE WHEN width_s = 900 THEN strftime(make_timestamp(bin * width_s * 1000000), '%H:%M')
+       ELSE strftime(make_timestamp(bin * width_s * 1000000), '%Y-%m-%d %H:%M') END AS t,
+  emotion, count, width_s
+FROM st
+""")
+
+for _mode, _frame in (("literal", "2 PRECEDING AND CURRENT ROW"), ("trailing", "3 PRECEDING AND 1 PRECEDING")):
+    SQL[f"spikes_{_mode}"] = W(_STACK + f"""
+, z AS (SELECT *, avg(count) OVER w AS mu, stddev_samp(count) OVER w AS sd, count(count) OVER w AS nn
+        FROM st WINDOW w AS (PARTITION BY post_id, emotion ORDER BY bin ROWS BETWEEN {_frame})),
+f AS (SELECT post_id, emotion, count, (count - mu) / sd AS z,
+             strftime(make_timestamp(bin * width_s * 1000000), '%Y-%m-%d %H:%M') AS t
+      FROM z WHERE nn = 3 AND sd > 0)
+SELECT post_id, rank, t, emotion, round(z, 6) AS z, count AS value FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY post_id ORDER BY z DESC, t ASC, emotion ASC) AS BIGINT) AS rank
+  FROM f WHERE z >= 2 AND count >= 2)
+WHERE rank <= 8
+""")
+
+SQL["decay_fit"] = W(_BINS + """
+, st AS (SELECT post_id, count(*) AS n_bins, max(count) AS mx FROM tl GROUP BY post_id),
+pk AS (SELECT tl.post_id, min(idx) AS peak_index FROM tl JOIN st USING (post_id) WHERE count = mx GROUP BY tl.post_id),
+ft AS (SELECT tl.post_id, regr_slope(ln(greatest(count, 1e-6)), CAST(idx - pk.peak_index AS DOUBLE)) AS slope,
+              regr_intercept(ln(greatest(count, 1e-6)), CAST(idx - pk.peak_index AS DOUBLE)) AS intercept
+       FROM tl JOIN pk USING (post_id) JOIN st USING (post_id)
+       WHERE st.n_bins >= 4 AND idx >= pk.peak_index GROUP BY tl.post_id)
+SELECT st.post_id, n_bins, peak_index, round(slope, 6) AS slope, round(intercept, 6) AS intercept,
+       round(CASE WHEN slope < 0 THEN -1.0 / slope END, 2) AS tau_bins
+FROM st JOIN pk USING (post_id) LEFT JOIN ft USING (post_id)
+""")
+
+SQL["half_life"] = W(_BINS + """
+, c AS (SELECT *, sum(count) OVER (PARTITION BY post_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+               sum(count) OVER (PARTITION BY post_id) AS total FROM tl)
+SELECT post_id,
+  round(min(idx) FILTER (WHERE total > 0 AND cum >= 0.5 * total) * CASE WHEN any_value(width_s) = 900 THEN 0.25 ELSE 1.0 END, 6)
+    AS half_life_hours,
+  round(min(idx) FILTER (WHERE total >= 10 AND cum >= 10) * CASE WHEN any_value(width_s) = 900 THEN 0.25 ELSE 1.0 END, 6)
+    AS t_first10_hours
+FROM c GROUP BY post_id
+""")
+
+SQL["reaction_curve"] = W("""
+, tm AS (SELECT post_id, epoch_us(created_time) AS us, total_reactions FROM enriched WHERE created_time IS NOT NULL),
+f AS (SELECT post_id, min(us) AS t0 FROM tm GROUP BY post_id)
+SELECT post_id, CAST(floor((us - t0) / 3600000000) AS BIGINT) AS age_h, round(avg(total_reactions), 6) AS value
+FROM tm JOIN f USING (post_id) GROUP BY ALL
+""")
+
+SQL["contagion"] = W("""
+, tm AS (SELECT post_id, cid, epoch_us(created_time) AS us, sentiment FROM enriched WHERE created_time IS NOT NULL),
+lg AS (SELECT *, lag(us) OVER w AS pus, lag(sentiment) OVER w AS ps FROM tm
+       WINDOW w AS (PARTITION BY post_id ORDER BY us, cid)),
+pr AS (SELECT post_id, ps AS prev, sentiment AS next, count(*) AS pairs FROM lg
+       WHERE pus IS NOT NULL AND us - pus <= 1800000000 GROUP BY ALL),
+b AS (SELECT post_id, count(*) AS n, count(*) FILTER (WHERE sentiment = 'positive') AS bp,
+             count(*) FILTER (WHERE sentiment = 'neutral') AS bu,
+             count(*) FILTER (WHERE sentiment = 'negative') AS bn FROM enriched GROUP BY post_id),
+lb AS (SELECT * FROM (VALUES ('positive'), ('neutral'), ('negative')) v(s)),
+g AS (SELECT b.*, a.s AS prev, c.s AS next FROM b, lb a, lb c),
+j AS (SELECT g.*, coalesce(pr.pairs, 0) AS pairs FROM g LEFT JOIN pr USING (post_id, prev, next)),
+k AS (SELECT *, sum(pairs) OVER (PARTITION BY post_id, prev) AS rt,
+        CASE next WHEN 'positive' THEN bp WHEN 'neutral' THEN bu ELSE bn END AS bcount FROM j)
+SELECT post_id, prev, next, pairs,
+  round((pairs / CASE WHEN rt = 0 THEN 1 ELSE rt END) / CASE WHEN bcount > 0 THEN bcount / n ELSE 1e-9 END, 6) AS lift
+FROM k
+""")
