@@ -161,3 +161,22 @@ SELECT post_id, prev, next, pairs,
   round((pairs / CASE WHEN rt = 0 THEN 1 ELSE rt END) / CASE WHEN bcount > 0 THEN bcount / n ELSE 1e-9 END, 6) AS lift
 FROM k
 """)
+
+# JN3 / FN4 / FN5: brute force over every pair in a post, string shingles.
+SQL["similar_pairs"] = W("""
+, it AS (SELECT post_id, cid, coalesce(epoch_us(created_time), 9223372036854775807) AS ord,
+                trim(regexp_replace(lower(comment_text), '\\s+', ' ', 'g')) AS s
+         FROM enriched WHERE comment_text IS NOT NULL AND length(comment_text) >= 12),
+sh AS (SELECT post_id, cid, ord,
+         CASE WHEN length(s) = 0 THEN []
+              WHEN length(s) <= 3 THEN [s]
+              ELSE list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) END AS sh
+       FROM it),
+pr AS (SELECT a.post_id, a.cid AS cid_a, b.cid AS cid_b, len(list_intersect(a.sh, b.sh)) AS o,
+              len(a.sh) + len(b.sh) AS t
+       FROM sh a JOIN sh b ON a.post_id = b.post_id AND (a.ord < b.ord OR (a.ord = b.ord AND a.cid < b.cid))
+       WHERE len(a.sh) > 0 AND len(b.sh) > 0)
+SELECT post_id, cid_a, cid_b, CAST(o AS BIGINT) AS overlap, CAST(t - o AS BIGINT) AS union_size,
+       round(o / greatest(1, t - o), 6) AS jaccard
+FROM pr WHERE o * 20 >= (t - o) * 11
+""")

@@ -145,28 +145,29 @@ def normalized_for_shingles(text) -> Column:
 def shingle_codes(text, k: int = L.SHINGLE_K) -> Column:
     """FN4: distinct character k-grams of the normalised text, as exact long codes.
 
-    Each code point c becomes (c + 1), 21 bits; a k-gram packs k of them (k <= 3),
-    so the encoding is injective (0 marks a missing position for texts shorter
-    than k).  Texts of length <= k give one shingle (the whole text); empty gives
-    an empty set.  Work is linear in the text length (one split, one pass).
+    Each code point c becomes (c + 1), 21 bits; a k-gram packs k of them
+    (k <= 3), so the encoding is injective (0 marks a missing position for texts
+    shorter than k).  The k-grams are built from k shifted slices of the code
+    point array combined with ``zip_with`` - linear in the text length (a
+    lambda that indexes an outer array would re-evaluate it per element).
+    Texts of length <= k give one shingle (the whole text); empty gives an
+    empty set.
     """
     assert 1 <= k <= 3
     s = normalized_for_shingles(text)
     cps = F.transform(F.split(s, ""), lambda ch: F.ascii(ch).cast("long") + 1)
     n = F.size(cps)
-
-    def pack(idx_fn):
-        code = F.lit(0).cast("long")
-        for j in range(k):
-            code = F.shiftleft(code, 21) + idx_fn(j)
-        return code
-
-    whole = pack(lambda j: F.coalesce(F.try_element_at(cps, F.lit(j + 1)), F.lit(0).cast("long")))
-    grams = F.transform(F.sequence(F.lit(0), n - k),
-                        lambda i: pack(lambda j: cps[i + j]))
-    return (F.when(F.length(s) == 0, F.array().cast("array<long>"))
-            .when(F.length(s) <= k, F.array(whole))
-            .otherwise(F.array_distinct(grams)))
+    m = n - k + 1
+    codes = F.slice(cps, 1, m)
+    for j in range(1, k):
+        codes = F.zip_with(codes, F.slice(cps, j + 1, m), lambda a, b: F.shiftleft(a, 21) + b)
+    whole = F.lit(0).cast("long")
+    for j in range(k):
+        whole = F.shiftleft(whole, 21) + F.coalesce(F.try_element_at(cps, F.lit(j + 1)), F.lit(0).cast("long"))
+    slen = F.length(s)  # split('') gives [''], so test the string itself
+    return (F.when(slen == 0, F.array().cast("array<long>"))
+            .when(slen <= k, F.array(whole))
+            .otherwise(F.array_distinct(codes)))
 
 
 def threshold_fraction(thr: float) -> Fraction:
