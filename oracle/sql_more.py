@@ -180,3 +180,55 @@ SELECT post_id, cid_a, cid_b, CAST(o AS BIGINT) AS overlap, CAST(t - o AS BIGINT
        round(o / greatest(1, t - o), 6) AS jaccard
 FROM pr WHERE o * 20 >= (t - o) * 11
 """)
+
+_SNAPS = """
+, sn AS (
+  SELECT post_id, make_timestamp(CAST(floor(epoch_us(created_time) / 21600000000) AS BIGINT) * 21600000000) AS ts,
+    count(*) AS total_comments,
+    count(*) FILTER (WHERE sentiment = 'positive') * 100.0 / greatest(1, count(*)) AS advocacy,
+    greatest(0.0, 100.0 - count(*) FILTER (WHERE sentiment = 'negative') * 100.0 / greatest(1, count(*))) AS safety_score,
+    avg(total_reactions) AS avg_reactions_per_comment,
+    count(*) FILTER (WHERE sentiment = 'positive') * 100.0 /
+      greatest(1, count(*) FILTER (WHERE sentiment IN ('positive', 'negative'))) AS positivity_ratio,
+    quantile_cont(engagement_score, 0.5) AS median_engagement
+  FROM enriched WHERE created_time IS NOT NULL GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (ORDER BY ts, post_id) AS rn FROM sn)
+"""
+_TS = "strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts"
+
+SQL["kpi_snapshots"] = W(_SNAPS + f"""
+SELECT post_id, {_TS}, total_comments, round(advocacy, 6) AS advocacy, round(safety_score, 6) AS safety_score,
+  round(avg_reactions_per_comment, 6) AS avg_reactions_per_comment, round(positivity_ratio, 6) AS positivity_ratio,
+  round(median_engagement, 6) AS median_engagement
+FROM sn
+""")
+
+SQL["latest_snapshot"] = W(_SNAPS + f"""
+SELECT post_id, {_TS}, total_comments, round(advocacy, 6) AS advocacy, round(safety_score, 6) AS safety_score,
+  round(avg_reactions_per_comment, 6) AS avg_reactions_per_comment, round(positivity_ratio, 6) AS positivity_ratio,
+  round(median_engagement, 6) AS median_engagement
+FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY ts DESC) AS r FROM sn) WHERE r = 1
+""")
+
+SQL["benchmark_percentiles"] = W(_SNAPS + f"""
+, j AS (
+  SELECT a.rn, a.post_id, a.ts, count(*) AS count_history,
+""" + ",\n".join(
+    f"    100.0 * count(*) FILTER (WHERE b.{m} <= a.{m}) / count(b.{m}) AS pct_{m}"
+    for m in ("advocacy", "safety_score", "avg_reactions_per_comment", "total_comments")) + f"""
+  FROM o a JOIN o b ON b.rn BETWEEN a.rn - 19 AND a.rn GROUP BY a.rn, a.post_id, a.ts)
+SELECT rn, post_id, {_TS}, count_history, round(pct_advocacy, 6) AS pct_advocacy,
+  round(pct_safety_score, 6) AS pct_safety_score,
+  round(pct_avg_reactions_per_comment, 6) AS pct_avg_reactions_per_comment,
+  round(pct_total_comments, 6) AS pct_total_comments
+FROM j
+""")
+
+SQL["kpi_deltas"] = W(_SNAPS + f"""
+, po AS (SELECT a.rn, max(b.rn) AS prn FROM o a LEFT JOIN o b ON b.rn < a.rn AND b.post_id <> a.post_id GROUP BY a.rn)
+SELECT a.rn, a.post_id, strftime(a.ts, '%Y-%m-%d %H:%M:%S') AS ts, p.post_id AS prev_post_id,
+""" + ",\n".join(
+    f"  round(CAST(a.{m} - coalesce(p.{m}, 0) AS DOUBLE), 6) AS delta_{m}"
+    for m in ("total_comments", "avg_reactions_per_comment", "positivity_ratio", "median_engagement")) + """
+FROM o a JOIN po USING (rn) LEFT JOIN o p ON p.rn = po.prn
+""")

@@ -26,3 +26,39 @@ def queries(enriched):
         "similar_groups": _on(enriched, _groups),
         "similar_group_members": _on(enriched, _members),
     }
+
+
+def _history_queries(enriched):
+    from ..operators import history as H
+
+    from pyspark.sql import functions as F
+
+    def _fmt(df):  # timestamps as text, so both engines print them alike
+        return df.withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+    def _snaps(spark, sf_dir):
+        return H.kpi_snapshots(enriched(spark, sf_dir))
+
+    def snaps(spark, sf_dir):
+        return _fmt(_snaps(spark, sf_dir))
+
+    def pct(spark, sf_dir):
+        return _fmt(H.benchmark_percentiles(_snaps(spark, sf_dir)))
+
+    def deltas(spark, sf_dir):
+        return _fmt(H.kpi_deltas(_snaps(spark, sf_dir)))
+
+    def latest(spark, sf_dir):
+        return _fmt(H.latest_per_post(_snaps(spark, sf_dir)))
+
+    return {"kpi_snapshots": snaps, "benchmark_percentiles": pct, "kpi_deltas": deltas,
+            "latest_snapshot": latest}
+
+
+_base_queries = queries
+
+
+def queries(enriched):  # noqa: F811
+    q = _base_queries(enriched)
+    q.update(_history_queries(enriched))
+    return q
