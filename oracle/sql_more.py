@@ -2,6 +2,7 @@
 
 from quillstat.functions import lexicons as L
 
+from .sql import SQL as BASE_SQL
 from .sql import URL, W, _q
 
 STOP = "[" + ", ".join(_q(w) for w in L.STOPWORDS) + "]"
@@ -232,3 +233,68 @@ SELECT a.rn, a.post_id, strftime(a.ts, '%Y-%m-%d %H:%M:%S') AS ts, p.post_id AS
     for m in ("total_comments", "avg_reactions_per_comment", "positivity_ratio", "median_engagement")) + """
 FROM o a JOIN po USING (rn) LEFT JOIN o p ON p.rn = po.prn
 """)
+
+from quillstat.functions.lexicons import LINK_ID_PATTERNS, RAW_ID_PATTERN  # noqa: E402
+
+SQL["row_payload"] = W("""
+SELECT post_id, cid, user_name, comment_text, sentiment, emotion, total_reactions, engagement_score, reply_count,
+       strftime(created_time, '%Y-%m-%d %H:%M:%S') AS created_time, language, permalink_url
+FROM enriched
+""")
+
+_WIN = """
+, b AS (SELECT post_id, max(created_time) AS tmax FROM enriched GROUP BY post_id),
+wd AS (SELECT e.* FROM enriched e JOIN b USING (post_id)
+       WHERE e.created_time >= b.tmax - INTERVAL {n} HOUR AND e.created_time <= b.tmax)
+"""
+
+SQL["window_payload"] = W(_WIN.format(n=24) + """
+SELECT post_id, cid, user_name, comment_text, sentiment, emotion, total_reactions, engagement_score, permalink_url
+FROM wd
+""")
+
+SQL["window_kpis"] = BASE_SQL["kpis"].replace("\n, hr AS", _WIN.format(n=72) + ", hr AS").replace(
+    "FROM enriched", "FROM wd").replace("wd AS (SELECT e.* FROM wd e", "wd AS (SELECT e.* FROM enriched e").replace(
+    "b AS (SELECT post_id, max(created_time) AS tmax FROM wd", "b AS (SELECT post_id, max(created_time) AS tmax FROM enriched")
+
+SQL["filtered_comments"] = W("""
+SELECT e.post_id, e.cid, e.engagement_score FROM enriched e JOIN thr t USING (post_id)
+WHERE coalesce(contains(lower(e.comment_text), 'an'), false) AND e.sentiment = 'positive'
+  AND e.engagement_score >= t.high_engagement
+""")
+
+SQL["unhandled_comments"] = W("""
+SELECT post_id, cid, reply_count FROM enriched WHERE NOT (reply_count >= 3)
+""")
+
+SQL["reaction_backfill"] = W("""
+SELECT post_id, comment_id, like_count, love_count, haha_count, wow_count, sad_count, angry_count, care_count
+FROM comments_v
+""")
+
+
+def _link_expr() -> str:
+    parts = []
+    for pat, groups in LINK_ID_PATTERNS:
+        qp = _q(pat)
+        val = (f"regexp_extract(url, {qp}, 1)" if groups == 1 else
+               f"regexp_extract(url, {qp}, 1) || '_' || regexp_extract(url, {qp}, 2)")
+        parts.append(f"CASE WHEN regexp_matches(url, {qp}) THEN {val} END")
+    parts.append(f"CASE WHEN regexp_matches(url, {_q(RAW_ID_PATTERN)}) THEN url END")
+    return "coalesce(" + ", ".join(parts) + ")"
+
+
+SQL["link_ids"] = f"""
+SELECT page_id, url, CASE WHEN length(trim(url)) = 0 THEN NULL ELSE {_link_expr().replace('url', 'trim(url)')} END AS object_id
+FROM pages
+"""
+
+SQL["data_quality"] = W("""
+SELECT post_id, count(*) AS rows,
+  round(100.0 * count(comment_text) / count(*), 6) AS text_coverage_pct,
+  round(100.0 * count(created_time) / count(*), 6) AS ts_coverage_pct,
+  round(100.0 * count(user_id) / count(*), 6) AS user_coverage_pct,
+  strftime(max(created_time), '%Y-%m-%d %H:%M:%S') AS newest_comment,
+  round((epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(max(created_time))) / 3.6e9, 6) AS age_hours
+FROM enriched GROUP BY post_id
+""")

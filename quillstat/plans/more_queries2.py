@@ -62,3 +62,68 @@ def queries(enriched):  # noqa: F811
     q = _base_queries(enriched)
     q.update(_history_queries(enriched))
     return q
+
+
+def _extra_queries(enriched):
+    from pyspark.sql import functions as F
+
+    from ..functions.links import object_id
+    from ..operators import filters as FL
+    from ..operators import joins as J
+    from ..operators import kpis as K
+    from ..schema import REACTION_TYPES, ROW_PAYLOAD_COLS, WINDOW_PAYLOAD_COLS
+    from ..sources.testdata import comments_v, table
+
+    def _payload(df, cols):
+        df = df.withColumn("created_time", F.date_format("created_time", "yyyy-MM-dd HH:mm:ss"))
+        return df.select("post_id", *[c for c in cols if c in df.columns])
+
+    def row_payload(spark, sf_dir):
+        return _payload(enriched(spark, sf_dir), ROW_PAYLOAD_COLS)
+
+    def window_payload(spark, sf_dir):
+        return _payload(FL.time_window(enriched(spark, sf_dir), rng="24h"), WINDOW_PAYLOAD_COLS)
+
+    def window_kpis(spark, sf_dir):
+        return K.insights_kpis(FL.time_window(enriched(spark, sf_dir), rng="3d"))
+
+    def filtered(spark, sf_dir):
+        d = FL.filter_comments(enriched(spark, sf_dir), q="an", flags=("pos", "high"))
+        return d.select("post_id", "cid", "engagement_score")
+
+    def unhandled(spark, sf_dir):
+        d = enriched(spark, sf_dir)
+        handled = d.filter(F.col("reply_count") >= 3).select("post_id", "cid")
+        return J.without_handled(d, handled).select("post_id", "cid", "reply_count")
+
+    def backfill(spark, sf_dir):
+        n = table(spark, sf_dir, "documents").count()
+        ev = table(spark, sf_dir, "events")
+        types = F.array(*[F.lit(t) for t in REACTION_TYPES])
+        reactions = ev.select(
+            F.concat(F.lit("cmt_"), (F.col("event_id") % n).cast("string")).alias("comment_id"),
+            F.element_at(types, (F.col("event_id") % 7 + 1).cast("int")).alias("type"),
+            F.floor(F.col("value") / 25).cast("long").alias("cnt"))
+        blocked = J.zero_reactions(comments_v(spark, sf_dir), ["post_0", "post_1"])
+        out = J.reaction_backfill(blocked, reactions)
+        return out.select("post_id", "comment_id", *[f"{t}_count" for t in REACTION_TYPES])
+
+    def link_ids(spark, sf_dir):
+        return table(spark, sf_dir, "pages").select("page_id", "url", object_id("url").alias("object_id"))
+
+    def quality(spark, sf_dir):
+        return K.data_quality(enriched(spark, sf_dir), as_of=F.lit("2024-02-01 00:00:00").cast("timestamp")) \
+            .withColumn("newest_comment", F.date_format("newest_comment", "yyyy-MM-dd HH:mm:ss"))
+
+    return {"row_payload": row_payload, "window_payload": window_payload, "window_kpis": window_kpis,
+            "filtered_comments": filtered, "unhandled_comments": unhandled, "reaction_backfill": backfill,
+            "link_ids": link_ids, "data_quality": quality}
+
+
+_base_queries2 = queries
+
+
+def queries(enriched):  # noqa: F811
+    q = _base_queries2(enriched)
+    q.update(_extra_queries(enriched))
+    return q
