@@ -298,3 +298,12 @@ SELECT post_id, count(*) AS rows,
   round((epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(max(created_time))) / 3.6e9, 6) AS age_hours
 FROM enriched GROUP BY post_id
 """)
+
+SQL["modal_labels"] = W("""
+, s AS (SELECT post_id, sentiment AS v, count(*) AS n FROM enriched WHERE sentiment IS NOT NULL GROUP BY ALL),
+e AS (SELECT post_id, emotion AS v, count(*) AS n FROM enriched WHERE emotion IS NOT NULL GROUP BY ALL),
+ms AS (SELECT post_id, v FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY n DESC, v ASC) AS r FROM s) WHERE r = 1),
+me AS (SELECT post_id, v FROM (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY n DESC, v ASC) AS r FROM e) WHERE r = 1)
+SELECT p.post_id, ms.v AS modal_sentiment, me.v AS modal_emotion
+FROM (SELECT DISTINCT post_id FROM enriched) p LEFT JOIN ms USING (post_id) LEFT JOIN me USING (post_id)
+""")

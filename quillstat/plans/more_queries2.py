@@ -115,7 +115,18 @@ def _extra_queries(enriched):
         return K.data_quality(enriched(spark, sf_dir), as_of=F.lit("2024-02-01 00:00:00").cast("timestamp")) \
             .withColumn("newest_comment", F.date_format("newest_comment", "yyyy-MM-dd HH:mm:ss"))
 
-    return {"row_payload": row_payload, "window_payload": window_payload, "window_kpis": window_kpis,
+    def story(spark, sf_dir):
+        from ..operators import text as TX
+        from .composites import story_highlights
+        d = enriched(spark, sf_dir)
+        return story_highlights(K.insights_kpis(d).join(TX.top_keyword(d), "post_id", "left"))
+
+    def modal(spark, sf_dir):
+        d = enriched(spark, sf_dir)
+        return d.groupBy("post_id").agg(F.mode("sentiment", True).alias("modal_sentiment"),
+                                        F.mode("emotion", True).alias("modal_emotion"))
+
+    return {"story_highlights": story, "modal_labels": modal, "row_payload": row_payload, "window_payload": window_payload, "window_kpis": window_kpis,
             "filtered_comments": filtered, "unhandled_comments": unhandled, "reaction_backfill": backfill,
             "link_ids": link_ids, "data_quality": quality}
 
