@@ -307,3 +307,63 @@ me AS (SELECT post_id, v FROM (SELECT *, row_number() OVER (PARTITION BY post_id
 SELECT p.post_id, ms.v AS modal_sentiment, me.v AS modal_emotion
 FROM (SELECT DISTINCT post_id FROM enriched) p LEFT JOIN ms USING (post_id) LEFT JOIN me USING (post_id)
 """)
+
+# SIM1-SIM3 + TOP13: the greedy loop itself, as a recursive walk over each post's
+# items in row order carrying the list of leaders so far.
+_GREEDY = """
+, it AS (SELECT post_id, cid, user_name, comment_text, engagement_score,
+                coalesce(epoch_us(created_time), 9223372036854775807) AS ord,
+                trim(regexp_replace(lower(comment_text), '\\s+', ' ', 'g')) AS s
+         FROM enriched WHERE comment_text IS NOT NULL AND length(comment_text) >= 12),
+itr AS (SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY ord, cid) AS rn FROM it),
+sh AS (SELECT post_id, cid, ord,
+         CASE WHEN length(s) = 0 THEN [] WHEN length(s) <= 3 THEN [s]
+              ELSE list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3))) END AS sh
+       FROM it),
+pr AS (SELECT a.post_id, a.cid AS cid_a, b.cid AS cid_b, len(list_intersect(a.sh, b.sh)) AS o,
+              len(a.sh) + len(b.sh) AS t
+       FROM sh a JOIN sh b ON a.post_id = b.post_id AND (a.ord < b.ord OR (a.ord = b.ord AND a.cid < b.cid))
+       WHERE len(a.sh) > 0 AND len(b.sh) > 0),
+pairs AS (SELECT post_id, cid_a, cid_b FROM pr WHERE o * 20 >= (t - o) * 11),
+nb AS (SELECT post_id, cid_b, list(cid_a) AS nbrs FROM pairs GROUP BY ALL),
+walk AS (
+  WITH RECURSIVE w(post_id, rn, leaders) AS (
+    SELECT post_id, CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) FROM (SELECT DISTINCT post_id FROM itr)
+    UNION ALL
+    SELECT w.post_id, w.rn + 1,
+      CASE WHEN len(list_intersect(coalesce(nb.nbrs, CAST([] AS VARCHAR[])), w.leaders)) = 0
+           THEN list_append(w.leaders, i.cid) ELSE w.leaders END
+    FROM w JOIN itr i ON i.post_id = w.post_id AND i.rn = w.rn + 1
+    LEFT JOIN nb ON nb.post_id = i.post_id AND nb.cid_b = i.cid)
+  SELECT * FROM w),
+fin AS (SELECT post_id, arg_max(leaders, rn) AS leaders FROM walk GROUP BY post_id),
+ld AS (SELECT post_id, unnest(leaders) AS leader FROM fin),
+mem AS (SELECT p.post_id, p.cid_b AS cid, arg_min(p.cid_a, ia.rn) AS leader
+        FROM pairs p JOIN ld ON ld.post_id = p.post_id AND ld.leader = p.cid_a
+        JOIN itr ia ON ia.post_id = p.post_id AND ia.cid = p.cid_a
+        WHERE NOT EXISTS (SELECT 1 FROM ld l2 WHERE l2.post_id = p.post_id AND l2.leader = p.cid_b)
+        GROUP BY p.post_id, p.cid_b),
+asg AS (SELECT post_id, cid, leader FROM mem UNION ALL SELECT post_id, leader, leader FROM ld),
+gm AS (SELECT a.post_id, a.leader, a.cid, i.user_name, i.comment_text, i.engagement_score, i.ord,
+              CAST(length(i.comment_text) AS BIGINT) AS text_len,
+              count(*) OVER (PARTITION BY a.post_id, a.leader) AS cnt,
+              row_number() OVER (PARTITION BY a.post_id, a.leader
+                                 ORDER BY i.engagement_score DESC, length(i.comment_text), i.ord, i.cid) AS mr
+       FROM asg a JOIN itr i ON i.post_id = a.post_id AND i.cid = a.cid),
+grp AS (SELECT g.post_id, g.leader, g.cnt AS count, g.cid AS rep_cid, g.comment_text AS rep_text,
+               g.engagement_score AS rep_eng, li.ord AS lord
+        FROM gm g JOIN itr li ON li.post_id = g.post_id AND li.cid = g.leader
+        WHERE g.mr = 1 AND g.cnt >= 2),
+rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY post_id ORDER BY count DESC, rep_eng DESC, lord, leader)
+                     AS BIGINT) AS rank FROM grp)
+"""
+
+SQL["similar_groups"] = W(_GREEDY + """
+SELECT post_id, rank, leader, CAST(count AS BIGINT) AS count, rep_cid, rep_text, rep_eng FROM rk WHERE rank <= 10
+""")
+
+SQL["similar_group_members"] = W(_GREEDY + """
+SELECT g.post_id, g.leader, g.cid, g.user_name AS "user", g.comment_text AS text, g.engagement_score AS eng,
+       g.text_len, g.ord
+FROM gm g JOIN rk ON rk.post_id = g.post_id AND rk.leader = g.leader WHERE rk.rank <= 10
+""")
