@@ -367,3 +367,20 @@ SELECT g.post_id, g.leader, g.cid, g.user_name AS "user", g.comment_text AS text
        g.text_len, g.ord
 FROM gm g JOIN rk ON rk.post_id = g.post_id AND rk.leader = g.leader WHERE rk.rank <= 10
 """)
+
+SQL["comment_text_stats"] = W(f"""
+, b AS (SELECT *, trim(regexp_replace(lower(coalesce(comment_text, '')), '\\s+', ' ', 'g')) AS s,
+          regexp_extract_all(regexp_replace(lower(comment_text), {URL}, '', 'g'), '([#@]?[\\p{{L}}\\p{{N}}_]+)', 1) AS rt,
+          list_filter(regexp_split_to_array(coalesce(comment_text, ''), '\\s+'), lambda x: length(x) > 0) AS ws
+        FROM enriched)
+SELECT post_id, cid, word_count, emoji_count, is_q AS is_question, is_cta, is_toxic,
+  CAST(coalesce(len(list_filter(rt, lambda t: t LIKE '#%' OR t LIKE '@%' OR
+        (NOT list_contains({STOP}, t) AND NOT regexp_full_match(t, '\\p{{Nd}}+') AND length(t) >= 3))), 0) AS BIGINT)
+    AS n_tokens,
+  CAST(CASE WHEN length(s) = 0 THEN 0 WHEN length(s) <= 3 THEN 1
+       ELSE len(list_distinct(list_transform(range(1, length(s) - 1), lambda i: substr(s, i, 3)))) END AS BIGINT)
+    AS n_shingles,
+  CAST(len(list_filter(ws, lambda w: w LIKE '#%')) AS BIGINT) AS n_hashtags,
+  round(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) / greatest(1, len(ws)), 6) AS mean_word_len
+FROM b
+""")

@@ -126,7 +126,19 @@ def _extra_queries(enriched):
         return d.groupBy("post_id").agg(F.mode("sentiment", True).alias("modal_sentiment"),
                                         F.mode("emotion", True).alias("modal_emotion"))
 
-    return {"story_highlights": story, "modal_labels": modal, "row_payload": row_payload, "window_payload": window_payload, "window_kpis": window_kpis,
+    def text_stats(spark, sf_dir):
+        from ..functions import text as X
+        d = enriched(spark, sf_dir)
+        return d.select("post_id", "cid", "word_count", "emoji_count",
+                        X.is_question("comment_text").alias("is_question"),
+                        X.cta_hit("comment_text").alias("is_cta"),
+                        X.toxic_hit("comment_text").alias("is_toxic"),
+                        F.size(X.tokenize("comment_text")).cast("long").alias("n_tokens"),
+                        F.size(X.shingle_codes("comment_text")).cast("long").alias("n_shingles"),
+                        F.size(X.hashtags("comment_text")).cast("long").alias("n_hashtags"),
+                        X.mean_word_length("comment_text").alias("mean_word_len"))
+
+    return {"comment_text_stats": text_stats, "story_highlights": story, "modal_labels": modal, "row_payload": row_payload, "window_payload": window_payload, "window_kpis": window_kpis,
             "filtered_comments": filtered, "unhandled_comments": unhandled, "reaction_backfill": backfill,
             "link_ids": link_ids, "data_quality": quality}
 
