@@ -96,6 +96,12 @@ def benchmarks(snapshots: DataFrame) -> dict[str, DataFrame]:
     return {"percentiles": H.benchmark_percentiles(snapshots)}
 
 
+def dashboard_rows(df: DataFrame) -> DataFrame:
+    """PRJ8: the dashboard's column subset (only the columns that exist)."""
+    from ..schema import DASHBOARD_COLS
+    return df.select("post_id", *[c for c in DASHBOARD_COLS if c in df.columns])
+
+
 def dashboard(df: DataFrame) -> dict[str, DataFrame]:
     """Second front end: KPIs, modal sentiment / emotion (AGG14), engagement by
     sentiment and emotion (AGG22/23), top lists without the > 0 guard."""
@@ -108,4 +114,6 @@ def dashboard(df: DataFrame) -> dict[str, DataFrame]:
         "top_engaged": R.top_engaged(df),
         "top_loved": R.top_loved(df, require_positive=False),
         "top_haha": R.top_haha(df, require_positive=False),
+        "rows": dashboard_rows(df),
+        "preview": R.preview(dashboard_rows(df)),
     }

@@ -89,3 +89,16 @@ def test_time_window_range_anchor(spark):
     assert FL.parse_range("7d") == 7 * 86400 and FL.parse_range("24h") == 86400
     assert FL.time_window(df, rng="3d").count() == 3  # anchored at the newest comment
     assert FL.time_window(df, start="2024-01-05", rng="1h").count() == 3  # range ignored with a start
+
+
+def test_snippets_and_dashboard(spark):
+    from quillstat.plans.composites import dashboard
+    df = make_comments(spark, [{"post_id": "p", "comment_id": "a", "comment_text": "x" * 300,
+                                "created_time": "2024-08-20T10:05:00+0000", "like_count": 2}])
+    r = df.select(RP.snippet("comment_text").alias("s"),
+                  RP.date_prefix(F.lit("2024-08-20T10:05:00+0000")).alias("d")).first()
+    assert len(r["s"]) == 120 and r["d"] == "2024-08-20"
+    d = dashboard(df)
+    assert d["rows"].columns == ["post_id", "user_name", "comment_text", "sentiment", "emotion",
+                                 "total_reactions", "engagement_score"]
+    assert d["preview"].count() == 1 and d["kpis"].first()["modal_sentiment"] == "neutral"

@@ -39,3 +39,12 @@ def test_stream_contagion_equals_batch(spark, sf001):
            pairs.groupBy("post_id", "prev", "next").agg(F.sum("pairs").alias("s")).collect()}
     want = {(r["post_id"], r["prev"], r["next"]): r["pairs"] for r in TS.contagion(batch).collect() if r["pairs"]}
     assert got == want
+
+
+def test_page_stream_equals_batch(spark):
+    from quillstat.sources.comments import load_comments
+    d = tempfile.mkdtemp(prefix="quillstat-pages-")
+    st = S.comment_page_stream(spark, "tests/fixtures/*.json", post_id="p1")
+    got = S.run_to_end(st, "pages_stream", d + "/ck").drop("created_time")
+    want = load_comments(spark, "tests/fixtures/page_1.json", "json", post_id="p1").drop("created_time")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
