@@ -48,3 +48,14 @@ def test_page_stream_equals_batch(spark):
     got = S.run_to_end(st, "pages_stream", d + "/ck").drop("created_time")
     want = load_comments(spark, "tests/fixtures/page_1.json", "json", post_id="p1").drop("created_time")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_dedupe_drops_redelivered_comments(spark, sf001):
+    d = tempfile.mkdtemp(prefix="quillstat-dup-")
+    src = comments_v(spark, sf001)
+    src.write.mode("overwrite").parquet(d + "/in/a")
+    src.limit(50).write.mode("overwrite").parquet(d + "/in/b")  # the same 50 comments delivered again
+    st = enrich(S.comment_row_stream(spark, d + "/in/*"))
+    out = S.run_to_end(S.dedupe(st, delay="60 days"), "dup_stream", d + "/ck")
+    assert out.count() == src.count()
+    assert out.groupBy("post_id", "comment_id").count().filter("count > 1").count() == 0
