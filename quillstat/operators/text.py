@@ -42,7 +42,10 @@ def keyword_counts(df: DataFrame, k_all: int = 15, k_pos: int = 10, k_neg: int =
         F.struct(F.lit("pos").alias("scope"), F.col("pos_count").alias("n")),
         F.struct(F.lit("neg").alias("scope"), F.col("neg_count").alias("n")))).alias("s"))
     scoped = scoped.select("post_id", "word", "s.scope", F.col("s.n").alias("count")).filter(F.col("count") > 0)
-    ranked = top_k(scoped, [F.col("count").desc(), F.col("word").asc()], None, by=["post_id", "scope"])
+    # A literal limit (the largest k) lets Spark keep only that many rows per
+    # (post, scope) on each mapper; the per-scope cap is applied afterwards.
+    ranked = top_k(scoped, [F.col("count").desc(), F.col("word").asc()], max(k_all, k_pos, k_neg, 1),
+                   by=["post_id", "scope"])
     cap = F.when(F.col("scope") == "all", k_all).when(F.col("scope") == "pos", k_pos).otherwise(k_neg)
     return ranked.filter(F.col("rank") <= cap).select("post_id", "scope", "rank", "word", "count")
 
