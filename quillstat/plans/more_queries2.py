@@ -20,7 +20,7 @@ def _members(df):
     return SIM.similar_groups(df)[1]
 
 
-def queries(enriched):
+def _similarity_queries(enriched):
     return {
         "similar_pairs": _on(enriched, SIM.similar_pairs),
         "similar_groups": _on(enriched, _groups),
@@ -55,15 +55,6 @@ def _history_queries(enriched):
             "latest_snapshot": latest}
 
 
-_base_queries = queries
-
-
-def queries(enriched):  # noqa: F811
-    q = _base_queries(enriched)
-    q.update(_history_queries(enriched))
-    return q
-
-
 def _extra_queries(enriched):
     from pyspark.sql import functions as F
 
@@ -143,10 +134,8 @@ def _extra_queries(enriched):
             "link_ids": link_ids, "data_quality": quality}
 
 
-_base_queries2 = queries
-
-
-def queries(enriched):  # noqa: F811
-    q = _base_queries2(enriched)
-    q.update(_extra_queries(enriched))
+def queries(enriched):
+    q = {}
+    for part in (_similarity_queries, _history_queries, _extra_queries):
+        q.update(part(enriched))
     return q
