@@ -66,7 +66,8 @@ ec AS (SELECT post_id, emotion, count(*) AS n FROM enriched WHERE emotion IS NOT
 te AS (SELECT post_id, emotion AS top_emotion FROM (
          SELECT *, row_number() OVER (PARTITION BY post_id ORDER BY n DESC, emotion ASC) AS rn FROM ec) WHERE rn = 1),
 k AS (
-  SELECT post_id, count(*) AS total_comments, count(DISTINCT user_id) AS unique_users,
+  SELECT post_id, count(*) AS total_comments,
+    CASE WHEN count(user_id) = 0 THEN count(DISTINCT user_name) ELSE count(DISTINCT user_id) END AS unique_users,
     CAST(sum(total_reactions) AS BIGINT) AS total_reactions,
     avg(total_reactions) AS avg_reactions_per_comment,
     quantile_cont(total_reactions, 0.5) AS median_reactions,

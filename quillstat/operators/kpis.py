@@ -46,7 +46,9 @@ def insights_kpis(df: DataFrame, approx: bool = False) -> DataFrame:
     hours = F.coalesce(F.greatest(F.lit(1.0), span_h), F.lit(1.0))
     agg = df.groupBy("post_id").agg(
         n.alias("total_comments"),
-        _distinct(F.col("user_id"), approx).alias("unique_users"),
+        # AGG2: user ids; a post whose source has no user ids falls back to names
+        F.when(F.count("user_id") == 0, _distinct(F.col("user_name"), approx))
+        .otherwise(_distinct(F.col("user_id"), approx)).alias("unique_users"),
         F.sum("total_reactions").cast("long").alias("total_reactions"),
         F.avg("total_reactions").cast("double").alias("avg_reactions_per_comment"),
         _pct("total_reactions", 0.5, approx).alias("median_reactions"),

@@ -44,3 +44,9 @@ def test_sentiment_counts_sum_to_total(spark, sf001):
     s = K.sentiment_counts(df).groupBy("post_id").agg(F.sum("value").alias("s"))
     t = K.insights_kpis(df).select("post_id", "total_comments")
     assert s.join(t, "post_id").filter(F.col("s") != F.col("total_comments")).count() == 0
+
+
+def test_unique_users_falls_back_to_names(spark):
+    rows = [{"post_id": "p", "comment_id": str(i), "user_name": n, "comment_text": "x"} for i, n in
+            enumerate(["ann", "bob", "ann"])]
+    assert K.insights_kpis(make_comments(spark, rows)).first()["unique_users"] == 2
