@@ -35,7 +35,7 @@ def row_cid() -> Column:
 
 
 def enrich(df: DataFrame, sentiment_scorer=None, emotion_scorer=None,
-           language_scorer=None, token_mode: str = "compat") -> DataFrame:
+           language_scorer=None, token_mode: str = "compat", blank_as_null: bool = False) -> DataFrame:
     """Conformed comments -> enriched comments.
 
     Model columns: an existing ``sentiment`` / ``emotion`` column is kept unless
@@ -46,6 +46,9 @@ def enrich(df: DataFrame, sentiment_scorer=None, emotion_scorer=None,
     from ..functions import scorers
 
     df = with_engagement(df)
+    if blank_as_null:
+        df = df.withColumns({c: F.nullif(F.col(c), F.lit("")) for c in ("user_id", "user_name", "language")
+                             if c in df.columns})
     if "comment_id" not in df.columns:
         df = df.withColumn("comment_id", F.lit(None).cast("string"))
     df = df.withColumn("cid", row_cid())

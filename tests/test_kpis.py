@@ -50,3 +50,15 @@ def test_unique_users_falls_back_to_names(spark):
     rows = [{"post_id": "p", "comment_id": str(i), "user_name": n, "comment_text": "x"} for i, n in
             enumerate(["ann", "bob", "ann"])]
     assert K.insights_kpis(make_comments(spark, rows)).first()["unique_users"] == 2
+
+
+def test_blank_as_null_option(spark):
+    from quillstat.operators.enrich import enrich
+    from quillstat.sources.comments import conform
+    rows = [("p", "a", "", "", "x", ""), ("p", "b", "u", "U", "y", "en")]
+    df = conform(spark.createDataFrame(rows, "post_id string, comment_id string, user_id string, "
+                                             "user_name string, comment_text string, language string"))
+    keep = K.insights_kpis(enrich(df)).first()
+    drop = K.insights_kpis(enrich(df, blank_as_null=True)).first()
+    assert (keep["unique_users"], keep["language_diversity"]) == (2, 2)
+    assert (drop["unique_users"], drop["language_diversity"]) == (1, 2)  # '' language -> 'unknown'
