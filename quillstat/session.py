@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -52,6 +53,14 @@ def ensure_checkpoint_dir(spark: SparkSession, allow_local_default: bool = False
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably (survives executor loss) and cut its lineage."""
+    """Materialise ``df`` reliably (survives executor loss) and cut its lineage.
+
+    The rows are persisted first, so the checkpoint write reads them instead of
+    running the plan a second time; the cache is dropped once the checkpoint
+    files exist.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = cached.checkpoint(eager=True)
+    cached.unpersist(blocking=False)
+    return out
