@@ -68,3 +68,18 @@ def test_contagion_bucket_split_equals_single_bucket(spark, sf001):
     a = {tuple(r) for r in TS.contagion(df, bucket_seconds=600).select("post_id", "prev", "next", "pairs").collect()}
     b = {tuple(r) for r in TS.contagion(df, bucket_seconds=10 ** 9).select("post_id", "prev", "next", "pairs").collect()}
     assert a == b
+
+
+def test_half_life_and_first10(spark):
+    times = ([T0] * 4 + [T0 + timedelta(hours=1)] * 3 + [T0 + timedelta(hours=2)] * 2
+             + [T0 + timedelta(hours=7)])  # hourly bins 4,3,2,0,0,0,0,1
+    r = TS.half_life(make_comments(spark, _rows(times))).first()
+    assert r["half_life_hours"] == 1.0 and r["t_first10_hours"] == 7.0
+
+
+def test_forecast_next_day(spark):
+    times = [T0 + timedelta(minutes=i) for i in range(20)] + \
+            [T0 + timedelta(days=1, minutes=i) for i in range(15)]
+    assert TS.forecast_next_day(make_comments(spark, _rows(times))).first()["forecast"] == 10
+    few = [T0, T0 + timedelta(days=1)]
+    assert TS.forecast_next_day(make_comments(spark, _rows(few))).first()["forecast"] is None
