@@ -62,3 +62,23 @@ def test_blank_as_null_option(spark):
     drop = K.insights_kpis(enrich(df, blank_as_null=True)).first()
     assert (keep["unique_users"], keep["language_diversity"]) == (2, 2)
     assert (drop["unique_users"], drop["language_diversity"]) == (1, 2)  # '' language -> 'unknown'
+
+
+def test_reply_coverage_null_without_questions_and_pareto(spark):
+    rows = [{"post_id": "p", "comment_id": f"c{i:02d}", "comment_text": "fine", "like_count": v}
+            for i, v in enumerate([50, 30] + [1] * 10)]
+    df = make_comments(spark, rows)
+    k = K.top_comments_kpis(df).first()
+    assert k["questions"] == 0 and k["reply_coverage_questions_pct"] is None
+    p = K.pareto_share(df).first()["pareto_top10_pct"]
+    assert abs(p - 100.0 * (50 + 30 + 8) / 90) < 1e-9
+
+
+def test_emotion_stack_labels_short_for_15_minute_bins(spark):
+    from datetime import datetime, timedelta
+    from quillstat.operators import timeseries as TS
+    t0 = datetime(2024, 1, 1, 9, 0)
+    rows = [{"post_id": "p", "comment_id": f"c{i}", "comment_text": "x", "emotion": "joy",
+             "created_time": (t0 + timedelta(minutes=20 * i)).strftime("%Y-%m-%dT%H:%M:%S+0000")} for i in range(3)]
+    labels = sorted(r["t"] for r in TS.emotion_stack(make_comments(spark, rows)).collect())
+    assert labels == ["09:00", "09:15", "09:30"]
