@@ -57,3 +57,14 @@ def test_posts_media_pick(spark, tmp_path):
     assert rows["1"]["picture_url"] == "i2.jpg" and rows["1"]["video_url"] == "v1"
     assert rows["1"]["like_count"] == 5 and rows["1"]["comment_count"] == 0 and rows["1"]["share_count"] == 2
     assert rows["2"]["picture_url"] == "g.jpg" and rows["2"]["video_url"] is None
+
+
+def test_post_id_from_landing_folder(spark, tmp_path):
+    import shutil
+    for pid in ("p7", "p9"):
+        d = tmp_path / "landed" / f"post_id={pid}"
+        d.mkdir(parents=True)
+        shutil.copy("tests/fixtures/page_1.json", d / "page_0001.json")
+    df = load_comments(spark, str(tmp_path / "landed"), "json")
+    got = {(r["post_id"], r["comment_id"]) for r in df.select("post_id", "comment_id").collect()}
+    assert got == {(p, c) for p in ("p7", "p9") for c in ("c1", "c2", "c3")}
