@@ -384,3 +384,17 @@ SELECT post_id, cid, word_count, emoji_count, is_q AS is_question, is_cta, is_to
   round(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) / greatest(1, len(ws)), 6) AS mean_word_len
 FROM b
 """)
+
+# FN13: highlight lines built from the KPI row and the top keyword.
+SQL["story_highlights"] = (
+    "WITH k AS (" + BASE_SQL["kpis"] + "),\ntk AS (" + SQL["top_keyword"] + "),\n" + """
+l AS (SELECT k.post_id, list_filter([
+    '🎯 Advocacy ' || CAST(round_even(k.advocacy, 1) AS VARCHAR) || '%',
+    '🛡️ Safety ' || CAST(round_even(k.safety_score, 1) AS VARCHAR),
+    CASE WHEN k.best_hour IS NOT NULL THEN printf('⏰ Best hour %02d:00 UTC', k.best_hour) END,
+    '⚡ ' || CAST(round_even(k.velocity_cph, 2) AS VARCHAR) || ' comments/hour',
+    '💬 Top emotion ' || k.top_emotion,
+    CASE WHEN length(tk.top_keyword) > 0 THEN '#️⃣ ' || tk.top_keyword END], lambda x: x IS NOT NULL) AS lines
+  FROM k JOIN tk USING (post_id))
+SELECT post_id, CAST(generate_subscripts(lines, 1) - 1 AS INTEGER) AS line_no, unnest(lines) AS text FROM l
+""")
