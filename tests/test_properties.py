@@ -42,3 +42,14 @@ def test_approx_mode_close(spark, sf001):
     b = {r["post_id"]: r for r in K.insights_kpis(df, approx=True).collect()}
     for p in a:
         assert abs(a[p]["unique_users"] - b[p]["unique_users"]) <= 0.1 * a[p]["unique_users"] + 1
+
+
+def test_approx_thresholds_run(spark, sf001):
+    from quillstat.operators import rankings as RR
+    df = _df(spark, sf001)
+    exact = {r["post_id"]: r for r in K.top_comments_kpis(df).collect()}
+    approx = {r["post_id"]: r for r in K.top_comments_kpis(df, approx=True).collect()}
+    assert set(exact) == set(approx)
+    for p in exact:
+        assert exact[p]["total"] == approx[p]["total"] and exact[p]["questions"] == approx[p]["questions"]
+    assert RR.risks(df, approx=True).count() >= 0
