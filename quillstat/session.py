@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,7 +32,8 @@ def ensure_checkpoint_dir(spark: SparkSession, allow_local_default: bool = False
 
     On a cluster the directory comes from ``spark.checkpoint.dir`` (a shared
     folder).  Only when nothing is configured and ``allow_local_default`` is set
-    (tests, local runs) is a scratch folder created.
+    (tests, local runs) is a folder below the SQL warehouse taken, which the
+    executors share as well.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,7 +45,7 @@ def ensure_checkpoint_dir(spark: SparkSession, allow_local_default: bool = False
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; point it at a shared folder "
                 "(the operator checkpoints to cut lineage)")
-        conf_dir = tempfile.mkdtemp(prefix="quillstat-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+        conf_dir = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 
