@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import mixing, url_filter
 
 
 def queries():
     return {
+        "op3_mixing": mixing.query,
         "op10_url_filter": url_filter.query,
     }
 
