@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, url_filter
+from . import mixing, packing, url_filter
 
 
 def queries():
     return {
+        "op2_best_fit_packing": packing.query,
         "op3_mixing": mixing.query,
         "op10_url_filter": url_filter.query,
     }
