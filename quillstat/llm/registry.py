@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, url_filter
+from . import mixing, packing, secrets, url_filter
 
 
 def queries():
     return {
+        "op1_secret_scan": secrets.query,
         "op2_best_fit_packing": packing.query,
         "op3_mixing": mixing.query,
         "op10_url_filter": url_filter.query,
