@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, secrets, url_filter
+from . import mixing, packing, secrets, simhash, url_filter
 
 
 def queries():
@@ -10,6 +10,7 @@ def queries():
         "op1_secret_scan": secrets.query,
         "op2_best_fit_packing": packing.query,
         "op3_mixing": mixing.query,
+        "op4_simhash": simhash.query,
         "op10_url_filter": url_filter.query,
     }
 
