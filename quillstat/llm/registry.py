@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, secrets, simhash, url_filter
+from . import mixing, packing, secrets, simhash, url_filter, warc
 
 
 def queries():
@@ -11,9 +11,12 @@ def queries():
         "op2_best_fit_packing": packing.query,
         "op3_mixing": mixing.query,
         "op4_simhash": simhash.query,
+        "op5_warc": warc.query,
         "op10_url_filter": url_filter.query,
     }
 
 
 def oracle_sql():
-    return {}
+    return {
+        "op5_warc": warc.ORACLE,
+    }

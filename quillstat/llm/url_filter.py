@@ -18,6 +18,7 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, pages, written
@@ -63,8 +64,16 @@ def word_counts(pages_df: DataFrame) -> DataFrame:
 
 
 def dictionary(pages_df: DataFrame, words: int = DICTIONARY_WORDS) -> dict[str, float]:
-    """Log probabilities of the ``words`` most frequent words (a fixed size bound)."""
-    top = word_counts(pages_df).orderBy(F.desc("n"), "word").limit(words).collect()
+    """Log probabilities of the most frequent words, at most ``words`` of them (a fixed size bound).
+
+    Words of one count are taken together or not at all, so the cut needs only
+    the number of words per count.
+    """
+    counts = written(word_counts(pages_df), "word-counts")
+    upto = W.orderBy(F.desc("n")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    level = (counts.groupBy("n").agg(F.count(F.lit(1)).alias("k")).withColumn("upto", F.sum("k").over(upto))
+             .where(F.col("upto") <= words).agg(F.min("n").alias("n")).first()["n"])
+    top = counts.where(F.col("n") >= level).collect() if level is not None else []
     total = sum(r["n"] for r in top)
     return {r["word"]: math.log(r["n"] / total) for r in top}
 
