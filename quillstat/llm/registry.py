@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, secrets, simhash, url_filter, warc
+from . import mixing, packing, secrets, simhash, toxicity, url_filter, warc
 
 
 def queries():
@@ -12,6 +12,7 @@ def queries():
         "op3_mixing": mixing.query,
         "op4_simhash": simhash.query,
         "op5_warc": warc.query,
+        "op6_toxicity": toxicity.query,
         "op10_url_filter": url_filter.query,
     }
 
