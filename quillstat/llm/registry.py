@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, secrets, simhash, toxicity, url_filter, warc
+from . import ann, mixing, packing, secrets, simhash, topk, toxicity, url_filter, warc
 
 
 def queries():
@@ -13,6 +13,8 @@ def queries():
         "op4_simhash": simhash.query,
         "op5_warc": warc.query,
         "op6_toxicity": toxicity.query,
+        "op7_top_k": topk.query,
+        "op8_ann": ann.query,
         "op10_url_filter": url_filter.query,
     }
 
@@ -20,4 +22,5 @@ def queries():
 def oracle_sql():
     return {
         "op5_warc": warc.ORACLE,
+        "op7_top_k": topk.ORACLE,
     }
