@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,18 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{ensure_checkpoint_dir(spark, allow_local_default=True).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that end inside go at once; the session's own setting comes back afterwards."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, what: str = "table") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -28,7 +42,8 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_folder(spark, what)
-    df.write.parquet(path)
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

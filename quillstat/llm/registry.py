@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, mixing, packing, secrets, simhash, topk, toxicity, url_filter, warc
+from . import ann, mixing, packing, repeats, secrets, simhash, topk, toxicity, url_filter, warc
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op6_toxicity": toxicity.query,
         "op7_top_k": topk.query,
         "op8_ann": ann.query,
+        "op9_repeats": repeats.query,
         "op10_url_filter": url_filter.query,
     }
 
