@@ -32,7 +32,7 @@ SHARE = 1.5
 #: Most copies of a document, and most of a source's target over its size.
 MOST = 2
 #: Documents of one source and size that are ranked together; larger groups are split.
-RANKED_TOGETHER = 4096
+RANKED_TOGETHER = 256
 #: Newton steps between two materialised states, and the gap at which they stop.
 STEPS, GAP = 4, 1e-7
 
