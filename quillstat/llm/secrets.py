@@ -110,7 +110,7 @@ def guess_cost(value: str, words: dict[str, int]) -> tuple[float, list[Step]]:
     ``best[j]`` is the cheapest cost of the first ``j`` characters; each step
     ends at ``j`` and pays its own guesses plus one bit for the cut.  Words
     cost their rank and two bits more where capitals are mixed in, dates the
-    days of 200 years, repeats of a block their block and count, walks their
+    days (or years) of 200 years, repeats of a block their block and count, walks their
     first key and the turns taken, and a brute-force character its alphabet.
     Work is linear in the length of the value.
     """
@@ -141,7 +141,7 @@ def guess_cost(value: str, words: dict[str, int]) -> tuple[float, list[Step]]:
                 piece = value[i:j]
                 offer("word", i, j, 1 + math.log2(rank + 1) + (0 if piece in (low[i:j], low[i:j].capitalize(), low[i:j].upper()) else 2))
         if m := _DATE.match(value, i):
-            offer("date", i, m.end(), 1 + math.log2(365 * 200))
+            offer("date", i, m.end(), 1 + math.log2(200 if len(m[0]) == 4 else 365 * 200))
         for p, run in runs.items():
             if run[i] >= max(2, p):
                 end = i + p + run[i]
