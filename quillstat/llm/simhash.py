@@ -32,6 +32,8 @@ SHINGLE_WORDS = 3
 MAX_BITS = 2
 SEED = 42
 _BLOCK = 1 << 14
+#: Working column beside a table's own columns.
+_PRINT = "__simhash_print"
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
@@ -50,7 +52,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
-def with_fingerprint(docs: DataFrame, keep: list[str], shingle: int = SHINGLE_WORDS, name: str = "_fp") -> DataFrame:
+def with_fingerprint(docs: DataFrame, keep: list[str], shingle: int = SHINGLE_WORDS, name: str = _PRINT) -> DataFrame:
     """The columns ``keep`` of ``docs`` and the fingerprint of ``text``."""
     src = docs.select(*keep, F.coalesce("text", F.lit("")).cast("binary").alias("_bytes"))
 
@@ -108,7 +110,7 @@ def groups(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row."""
-    prints = written(with_fingerprint(docs, ["doc_id"], shingle), "prints")
+    prints = written(with_fingerprint(docs, ["doc_id"], shingle, "_fp"), "prints")
     return prints.join(groups(prints, max_bits), "_fp").select(
         "doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -116,11 +118,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int
 def first_of_each(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest ``doc_id``."""
     prints = written(with_fingerprint(docs, docs.columns, shingle), "printed")
-    keep = groups(prints.select("doc_id", "_fp"), max_bits).where("_fp = keep_fp").select(
-        F.col("component_id").alias("_id"), F.col("_fp").alias("_of"))
-    again = W.partitionBy("doc_id", "_fp").orderBy(F.lit(0))
-    return (prints.join(keep, (prints["_fp"] == keep["_of"]) & prints["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
-            .withColumn("_again", F.row_number().over(again)).where("_again = 1").select(*docs.columns))
+    keep = groups(prints.select("doc_id", F.col(_PRINT).alias("_fp")), max_bits).where("_fp = keep_fp").select(
+        F.col("component_id").alias("__id"), F.col("_fp").alias("__of"))
+    again = W.partitionBy("doc_id", _PRINT).orderBy(F.lit(0))
+    return (prints.join(keep, (prints[_PRINT] == keep["__of"]) & prints["doc_id"].eqNullSafe(keep["__id"]), "left_semi")
+            .withColumn("__again", F.row_number().over(again)).where("__again = 1").select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -193,12 +193,12 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[
 def scored(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], name: str = "score") -> DataFrame:
     """The columns ``keep`` of ``docs`` and the score of ``text``."""
     held = docs.sparkSession.sparkContext.broadcast(model)  # one number per bucket
-    src = docs.select(*keep, F.col("text").alias("_text"))
+    src = docs.select(*keep, F.col("text").alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scorer(*held.value)
         for b in batches:
-            score = pa.array([s.score(t.as_py()) for t in b.column("_text")], pa.float64())
+            score = pa.array([s.score(t.as_py()) for t in b.column("__text")], pa.float64())
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), score], names=[*keep, name])
 
     return src.mapInArrow(run, docs.select(*keep).withColumn(name, F.lit(0.0)).schema)
@@ -213,7 +213,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more."""
-    return scored(docs, fitted(docs, labels), docs.columns, "_score").where(F.col("_score") < threshold).select(*docs.columns)
+    return scored(docs, fitted(docs, labels), docs.columns, "__score").where(F.col("__score") < threshold).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
