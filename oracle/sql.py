@@ -1,30 +1,29 @@
 """DuckDB oracle SQL, one statement per registered query.
 
-Written independently of the Spark code: plain SQL over the pre-registered
-test-table views.  Doubles are rounded to 6 decimals on both sides.
+Shares no code, pattern or word list with the Spark side (see ``fixed``): plain SQL over the
+pre-registered test-table views.  Doubles are rounded to 6 decimals on both sides.
 """
 
 from __future__ import annotations
 
-from quillstat.functions import lexicons as L
-from quillstat.functions import text as X
-from quillstat.sources.testdata import COMMENTS_V_SQL
+from . import fixed as X
 
 
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-EMOJI = _q(X.EMOJI_RUN_PATTERN)
-URL = _q(X.URL_PATTERN)
-WORD = _q(X.word_pattern("compat"))
-QUESTION = _q(X.question_pattern())
-CTA = _q("|".join(L.CTA_WORDS))
-TOXIC = _q("|".join(L.TOXIC_WORDS))
+EMOJI = _q(X.EMOJI)
+URL = _q(X.LINK)
+SPACE = X.SPACE
+WORD = _q(X.WORD)
+QUESTION = _q(X.QUESTION)
+CTA = _q(X.CTA)
+TOXIC = _q(X.TOXIC)
 LANG = ("CASE lower(coalesce(language, 'unknown')) WHEN 'bn' THEN 'bangla' WHEN 'en' THEN 'english' "
         "ELSE lower(coalesce(language, 'unknown')) END")
 
-ENRICHED_SQL = COMMENTS_V_SQL + f""",
+ENRICHED_SQL = X.COMMENTS_V + f""",
 enriched AS (
   SELECT *,
     like_count + love_count + haha_count + wow_count + sad_count + angry_count + care_count AS total_reactions,
@@ -173,9 +172,9 @@ SELECT post_id, round(100.0 * sum(engagement_score) FILTER (WHERE rn <= 10) / gr
 FROM r GROUP BY post_id
 """)
 
-SQL["content_intel"] = W("""
+SQL["content_intel"] = W(f"""
 , w AS (SELECT post_id, is_cta, is_toxic,
-          list_filter(regexp_split_to_array(coalesce(comment_text, ''), '\\s+'), lambda x: length(x) > 0) AS ws
+          list_filter(regexp_split_to_array(coalesce(comment_text, ''), '{SPACE}+'), lambda x: length(x) > 0) AS ws
         FROM enriched)
 SELECT post_id, count(*) FILTER (WHERE is_cta) AS cta_hits,
   round(avg(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) / greatest(1, len(ws))), 6) AS readability,

@@ -6,11 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .lexicons import LINK_ID_PATTERNS, RAW_ID_PATTERN
+from .text import stripped
 
 
 def object_id(url) -> Column:
     """First matching URL shape wins; groups give '<group>_<post>'; a bare id passes."""
-    u = F.trim(F.col(url) if isinstance(url, str) else url)
+    u = stripped(url)
     out = None
     for pat, groups in LINK_ID_PATTERNS:
         if groups == 1:

@@ -11,13 +11,25 @@ def _c(c) -> Column:
 
 
 def abbr(n) -> Column:
-    """FN10: 1.2K / 3M / 4B (one decimal, trailing '.0' dropped; half-even on
-    the exact quotient)."""
+    """FN10: 1.2K / 3M / 4B (one decimal, trailing '.0' dropped).
+
+    The quotient is rounded as the binary double it is: 1050 gives 1.1K (1.05
+    lies above its decimal), 1150 gives 1.1K (1.15 lies below).
+    """
     v = F.coalesce(_c(n).cast("long"), F.lit(0))
+    wide = "decimal(38,0)"
+
     def part(div: int, suf: str) -> Column:
-        q = F.bround(v.cast("decimal(38,0)") / F.lit(div), 1).cast("decimal(38,1)").cast("string")
-        q = F.regexp_replace(q, r"\.0$", "")
-        return F.concat(q, F.lit(suf))
+        q = v / F.lit(float(div))
+        bits = (q * F.lit(2.0 ** 52)).cast(wide)  # exact below 1000, where ties matter
+        tenths = F.floor(bits * 10 / F.lit(2 ** 52)).cast("long")
+        tie = (2 * tenths + 1).cast(wide) * F.lit(2 ** 52).cast(wide)
+        twice = bits * 20
+        up = (twice > tie) | ((twice == tie) & (tenths % 2 == 1))
+        small = (tenths + up.cast("long")).cast("decimal(20,0)") / 10
+        text = F.when(q < 1000, small.cast("decimal(20,1)")).otherwise(F.bround(v.cast(wide) / F.lit(div), 1).cast("decimal(20,1)")).cast("string")
+        return F.concat(F.regexp_replace(text, r"\.0$", ""), F.lit(suf))
+
     return (F.when(v >= 1_000_000_000, part(1_000_000_000, "B"))
             .when(v >= 1_000_000, part(1_000_000, "M"))
             .when(v >= 1_000, part(1_000, "K"))

@@ -11,6 +11,7 @@ bundled); they are not label-equal to any model.
 
 from __future__ import annotations
 
+import uuid
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -70,7 +71,7 @@ def lexicon_emotion(df: DataFrame, text_col: str = "comment_text", out: str = "e
 
 
 def model_scorer(load_model: Callable[[], Callable[[list], list]], out: str,
-                 text_col: str = "comment_text", batch_size: int = 32, max_chars: int | None = None,
+                 text_col: str = "comment_text", batch_size: int = 32,
                  all_labels: bool = False) -> Callable[[DataFrame], DataFrame]:
     """UDF1/UDF2/UDF3: wrap a text classifier as an iterator Pandas UDF.
 
@@ -80,13 +81,13 @@ def model_scorer(load_model: Callable[[], Callable[[list], list]], out: str,
     arg-max natively; otherwise the first label is used (label lower-cased).
     """
 
+    key = uuid.uuid4().hex
+
     @F.pandas_udf(PREDICTIONS_TYPE)
     def _score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load_model()
+        model = _loaded(key, load_model)
         for texts in batches:
             vals = texts.fillna("").astype(str)
-            if max_chars:
-                vals = vals.str.slice(0, max_chars)
             preds = []
             for start in range(0, len(vals), batch_size):
                 preds.extend(model(vals.iloc[start:start + batch_size].tolist()))
@@ -101,6 +102,17 @@ def model_scorer(load_model: Callable[[], Callable[[list], list]], out: str,
     return apply
 
 
+#: Models this Python worker has loaded; a worker serves many tasks.
+_MODELS: dict[str, Callable[[list], list]] = {}
+
+
+def _loaded(key: str, load_model: Callable[[], Callable[[list], list]]) -> Callable[[list], list]:
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = load_model()
+    return _MODELS[key]
+
+
 def _as_list(p):
     # unwrap nested singleton lists, as returned by some pipelines
     while isinstance(p, list) and len(p) == 1 and isinstance(p[0], list):
@@ -110,14 +122,17 @@ def _as_list(p):
     return [{"label": str(d.get("label", "neutral")), "score": float(d.get("score", 0.0))} for d in (p or [])]
 
 
-def script_language(df: DataFrame, text_col: str = "comment_text", out: str = "language") -> DataFrame:
+def script_language_of(text: Column) -> Column:
     """UDF5 default: best-effort language by script / stop words; '' when unsure."""
-    t = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    t = F.lower(F.coalesce(text, F.lit("")))
     bangla = F.regexp_count(t, F.lit(r"[\x{0980}-\x{09FF}]"))
     latin = F.regexp_count(t, F.lit(r"[a-z]"))
     english = F.regexp_count(t, F.lit(r"(^|[^a-z])(the|and|is|this|that|you|for|with)([^a-z]|$)"))
-    lang = (F.when(F.length(t) == 0, F.lit(""))
+    return (F.when(F.length(t) == 0, F.lit(""))
             .when(bangla > latin, F.lit("bn"))
             .when(english > 0, F.lit("en"))
             .otherwise(F.lit("")))
-    return df.withColumn(out, lang)
+
+
+def script_language(df: DataFrame, text_col: str = "comment_text", out: str = "language") -> DataFrame:
+    return df.withColumn(out, script_language_of(F.col(text_col)))

@@ -1,7 +1,8 @@
 """Text column functions: tokenizer, counts, detectors, shingles.
 
-All are built-in Spark expressions (regex, higher-order array functions), so they
-stay inside whole-stage codegen; no Python runs per row.
+All are built-in Spark expressions; no Python runs per row.  Regular expressions
+are part of whole-stage codegen, higher-order array functions run in the JVM
+outside it.
 """
 
 from __future__ import annotations
@@ -17,7 +18,10 @@ from . import lexicons as L
 # marks).  Java's bare ``\w`` is ASCII-only, so spell the class out.
 WORD_CLASS_COMPAT = r"\p{L}\p{N}_"
 WORD_CLASS_FULL = r"\p{L}\p{M}\p{N}_"
-URL_PATTERN = r"(?i)https?://\S+|www\.\S+"
+# Unicode white space, as the reference's language has it.  Java's bare ``\s`` is
+# ASCII-only, so spell the class out.
+SPACE_CLASS = r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+URL_PATTERN = rf"(?i)https?://[^{SPACE_CLASS}]+|www\.[^{SPACE_CLASS}]+"
 EMOJI_RUN_PATTERN = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in L.EMOJI_RANGES) + "]+"
 
 
@@ -105,7 +109,7 @@ def toxic_hit(text, word_boundary: bool = False) -> Column:
 
 def whitespace_words(text) -> Column:
     """``str.split()``: non-empty whitespace-separated words; null -> empty."""
-    parts = F.split(F.coalesce(_c(text), F.lit("")), r"\s+")
+    parts = F.split(F.coalesce(_c(text), F.lit("")), f"[{SPACE_CLASS}]+")
     return F.filter(parts, lambda w: F.length(w) > 0)
 
 
@@ -139,7 +143,12 @@ def sentiment3(sentiment) -> Column:
 
 def normalized_for_shingles(text) -> Column:
     """Lower case, whitespace runs collapsed to one space, trimmed."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(_c(text), F.lit(""))), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(_c(text), F.lit(""))), f"[{SPACE_CLASS}]+", " "))
+
+
+def stripped(text) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(_c(text), f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", "")
 
 
 def shingle_codes(text, k: int = L.SHINGLE_K) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import REACTION_COLS, REACTION_TYPES
+from .perpost import per_post
 
 
 def reaction_backfill(comments: DataFrame, reactions: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def reaction_backfill(comments: DataFrame, reactions: DataFrame) -> DataFrame:
             .groupBy("comment_id").pivot("type", list(REACTION_TYPES)).agg(F.sum("cnt")))
     gate = comments.groupBy("post_id").agg(
         (F.sum(F.coalesce(F.col("like_count"), F.lit(0))) == 0).alias("_fill"))
-    d = comments.join(gate, "post_id").join(
+    d = per_post(comments, gate, "inner").join(
         wide.select("comment_id", *[F.col(t).alias(f"_rx_{t}") for t in REACTION_TYPES]), "comment_id", "left")
     out = d.withColumns({
         f"{t}_count": F.when(F.col("_fill"), F.coalesce(F.col(f"_rx_{t}"), F.lit(0)).cast("long"))
@@ -28,9 +29,10 @@ def select_posts(posts: DataFrame, selection: DataFrame, min_selected: int = 2)
     """JN4: the compared posts (id, likes, comments, shares) when at least
     ``min_selected`` are picked; otherwise empty."""
     picked = posts.join(selection.select(F.col("post_id").alias("id")).distinct(), "id", "left_semi")
-    n = selection.select("post_id").distinct().count()  # size of a user's pick list
-    out = picked.select("id", "like_count", "comment_count", "share_count")
-    return out if n >= min_selected else out.limit(0)
+    enough = (selection.agg(F.count_distinct("post_id").alias("n")).where(F.col("n") >= min_selected)
+              .select(F.lit(1).alias("_enough")))  # one row or none
+    return (picked.select("id", "like_count", "comment_count", "share_count", F.lit(1).alias("_enough"))
+            .join(enough, "_enough", "left_semi").drop("_enough"))
 
 
 def mark_handled(handled: DataFrame, post_id: str, cids: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schema import REACTION_COLS
+from .perpost import per_post
 
 
 def _pct(x, p, approx: bool) -> Column:
@@ -85,27 +86,38 @@ def engagement_thresholds(df: DataFrame, approx: bool = False) -> DataFrame:
 
 def with_thresholds(df: DataFrame, approx: bool = False) -> DataFrame:
     """Attach per-post thresholds to every comment (join on post_id, no window)."""
-    return df.join(engagement_thresholds(df, approx), "post_id", "left")
+    return per_post(df, engagement_thresholds(df, approx))
 
 
 def top_comments_kpis(df: DataFrame, approx: bool = False) -> DataFrame:
     """Top-comments KPI set: total, avg reactions, positivity (polar), negatives,
     questions (AGG26), high_eng (>= p75, FLT8), unanswered (FLT10), reply
     coverage of questions (AGG27), p75 and median thresholds."""
-    d = with_thresholds(df, approx).withColumn("_q", X.is_question("comment_text"))
-    pos = count_if(F.col("sentiment") == "positive")
-    neg = count_if(F.col("sentiment") == "negative")
-    q = count_if(F.col("_q"))
-    answered = count_if(F.col("_q") & (F.col("reply_count") > 0))
-    return d.groupBy("post_id").agg(
-        F.count(F.lit(1)).cast("long").alias("total"),
-        F.avg("total_reactions").cast("double").alias("avg_reacts"),
-        (pos * 100.0 / F.greatest(F.lit(1), pos + neg)).alias("positivity"),
-        neg.alias("negatives"),
-        q.alias("questions"),
-        count_if(F.col("engagement_score") >= F.col("high_engagement")).alias("high_eng"),
-        count_if(F.coalesce(F.col("reply_count"), F.lit(0)) <= 0).alias("unanswered"),
-        F.when(q > 0, answered * 100.0 / q).alias("reply_coverage_questions_pct"),
+    # One row per post and engagement value: thresholds and every count come from that
+    # histogram, so no comment is joined or kept in a percentile buffer.
+    q = X.is_question("comment_text")
+    hist = df.groupBy("post_id", "engagement_score").agg(
+        F.count(F.lit(1)).cast("long").alias("n"),
+        F.sum("total_reactions").alias("reacts"), F.count("total_reactions").alias("reacted"),
+        count_if(F.col("sentiment") == "positive").alias("pos"), count_if(F.col("sentiment") == "negative").alias("neg"),
+        count_if(q).alias("q"), count_if(q & (F.col("reply_count") > 0)).alias("answered"),
+        count_if(F.coalesce(F.col("reply_count"), F.lit(0)) <= 0).alias("open"))
+
+    def pct(p: float) -> Column:
+        return F.percentile(F.col("engagement_score").cast("double"), F.lit(p), F.col("n")).cast("double")
+
+    thr = (engagement_thresholds(df, True) if approx else
+           hist.groupBy("post_id").agg(pct(0.75).alias("high_engagement"), pct(0.5).alias("median_engagement")))
+    total = lambda c: F.sum(c).cast("long")
+    return hist.join(thr, "post_id").groupBy("post_id").agg(
+        total("n").alias("total"),
+        (F.sum("reacts") / F.sum("reacted")).cast("double").alias("avg_reacts"),
+        (total("pos") * 100.0 / F.greatest(F.lit(1), total("pos") + total("neg"))).alias("positivity"),
+        total("neg").alias("negatives"),
+        total("q").alias("questions"),
+        F.coalesce(total(F.when(F.col("engagement_score") >= F.col("high_engagement"), F.col("n"))), F.lit(0)).alias("high_eng"),
+        total("open").alias("unanswered"),
+        F.when(total("q") > 0, total("answered") * 100.0 / total("q")).alias("reply_coverage_questions_pct"),
         F.first("high_engagement").alias("high_engagement"),
         F.first("median_engagement").alias("median_engagement"),
     )

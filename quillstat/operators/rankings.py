@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from .kpis import with_thresholds
+from .kpis import engagement_thresholds
 
 
 def top_k(df: DataFrame, order: list[Column], k: int | None, by: str | list[str] = "post_id",
@@ -69,9 +69,11 @@ def examples(df: DataFrame, k: int = 3) -> DataFrame:
 
 def risks(df: DataFrame, k: int = 5, approx: bool = False) -> DataFrame:
     """TOP6/TOP7: negative comments at or above the post's p75 engagement."""
-    d = with_thresholds(df, approx).filter(
-        (F.col("sentiment") == "negative") & (F.col("engagement_score") >= F.col("high_engagement")))
-    return _ranked(d, "engagement_score", k)
+    # The threshold bounds the sort key from below, so the k best rows are taken
+    # first and only they meet their post's threshold.
+    best = top_k(df.filter(F.col("sentiment") == "negative"), [F.col("engagement_score").desc(), F.col("cid").asc()], k)
+    d = best.join(engagement_thresholds(df, approx), "post_id").filter(F.col("engagement_score") >= F.col("high_engagement"))
+    return card(d)
 
 
 def reply_queue(df: DataFrame, k: int = 10, approx: bool = False) -> DataFrame:
@@ -85,17 +87,12 @@ def question_bank(df: DataFrame, k: int = 10) -> DataFrame:
     return _ranked(d, "engagement_score", k)
 
 
-def recent_toxic(df: DataFrame, recent: int = 200, k: int = 5, word_boundary: bool = False) -> DataFrame:
-    """TOP9: among the newest ``recent`` comments, toxic ones by engagement."""
-    newest = top_k(df, [F.col("created_time").desc_nulls_last(), F.col("cid").asc()], recent,
-                   rank_col="recent_rank")
-    tox = newest.filter(X.toxic_hit("comment_text", word_boundary)).drop("recent_rank")
-    return _ranked(tox, "engagement_score", k)
-
-
-def similar_group_order(groups: DataFrame, k: int = 10) -> DataFrame:
-    """TOP13: groups by size desc, then representative engagement desc."""
-    return top_k(groups, [F.col("count").desc(), F.col("rep_eng").desc(), F.col("leader").asc()], k)
+def recent_toxic(df: DataFrame, recent: int | None = 200, k: int = 5, word_boundary: bool = False) -> DataFrame:
+    """TOP9: among the newest ``recent`` comments (None: all), toxic ones by engagement."""
+    if recent is not None:
+        df = top_k(df, [F.col("created_time").desc_nulls_last(), F.col("cid").asc()], recent,
+                   rank_col="recent_rank").drop("recent_rank")
+    return _ranked(df.filter(X.toxic_hit("comment_text", word_boundary)), "engagement_score", k)
 
 
 def preview(df: DataFrame, n: int = 100) -> DataFrame:

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .perpost import per_post
+
 from .kpis import count_if
 from .rankings import top_k
 
@@ -36,7 +38,7 @@ def post_bins(df: DataFrame) -> DataFrame:
 
 
 def _binned(df: DataFrame, bins: DataFrame) -> DataFrame:
-    d = _timed(df).join(bins.select("post_id", "width_s", "b0"), "post_id")
+    d = per_post(_timed(df), bins.select("post_id", "width_s", "b0"), "inner")
     return d.withColumn("bin", F.floor(F.col("_us") / (F.col("width_s") * 1_000_000)).cast("long"))
 
 
@@ -157,7 +159,7 @@ def reaction_curve(df: DataFrame) -> DataFrame:
     """AGG34/WIN11: mean total reactions per whole hour of age since the post's first comment."""
     t = _timed(df)
     first = t.groupBy("post_id").agg(F.min("_us").alias("_t0"))
-    d = t.join(first, "post_id").withColumn("age_h", F.floor((F.col("_us") - F.col("_t0")) / HOUR_US).cast("long"))
+    d = per_post(t, first, "inner").withColumn("age_h", F.floor((F.col("_us") - F.col("_t0")) / HOUR_US).cast("long"))
     return d.groupBy("post_id", "age_h").agg(F.avg("total_reactions").cast("double").alias("value"))
 
 

@@ -94,16 +94,29 @@ def _extra_queries(enriched):
         reactions = ev.select(
             F.concat(F.lit("cmt_"), (F.col("event_id") % n).cast("string")).alias("comment_id"),
             F.element_at(types, (F.col("event_id") % 7 + 1).cast("int")).alias("type"),
-            F.floor(F.col("value") / 25).cast("long").alias("cnt"))
+            # posts that must be left alone get other counts, so filling them shows
+            (F.floor(F.col("value") / 25) + F.when(F.col("event_id") % n % 4 >= 2, 5).otherwise(0)).cast("long").alias("cnt"))
         blocked = J.zero_reactions(comments_v(spark, sf_dir), ["post_0", "post_1"])
         out = J.reaction_backfill(blocked, reactions)
         return out.select("post_id", "comment_id", *[f"{t}_count" for t in REACTION_TYPES])
 
     def link_ids(spark, sf_dir):
-        return table(spark, sf_dir, "pages").select("page_id", "url", object_id("url").alias("object_id"))
+        # The test urls carry no id; nine in ten are given one of the shapes.
+        n = F.concat(F.lit("10"), F.col("page_id").cast("string"))
+        base = "https://www.facebook.com/"
+        shapes = [(base + "reel/", ""), (base + "some.page/videos/", "/"), ("https://FACEBOOK.com/watch/?v=", ""), ("https://m.example.com/x?a=1&v=", ""),
+                  (base + "photo.php?set=a&fbid=", ""), (base + "permalink.php?story_fbid=", "&id=7"), (base + "some.page/posts/", ""),
+                  (base + "groups/77/permalink/", ""), ("\u00a0", "_5\u3000")]
+        url = F.col("url")
+        for i, (head, tail) in enumerate(shapes):
+            url = F.when(F.col("page_id") % 10 == i, F.concat(F.lit(head), n, F.lit(tail))).otherwise(url)
+        return table(spark, sf_dir, "pages").withColumn("url", url).select("page_id", "url", object_id("url").alias("object_id"))
 
     def quality(spark, sf_dir):
-        return K.data_quality(enriched(spark, sf_dir), as_of=F.lit("2024-02-01 00:00:00").cast("timestamp")) \
+        d, n = enriched(spark, sf_dir), F.substring("cid", 5, 20).cast("long")
+        d = d.withColumns({"comment_text": F.when(n % 9 != 0, F.col("comment_text")), "created_time": F.when(n % 10 != 0, F.col("created_time")),
+                           "user_id": F.when(n % 8 != 0, F.col("user_id"))})
+        return K.data_quality(d, as_of=F.lit("2024-02-01 00:00:00").cast("timestamp")) \
             .withColumn("newest_comment", F.date_format("newest_comment", "yyyy-MM-dd HH:mm:ss"))
 
     def story(spark, sf_dir):

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scorers import script_language_of
 from ..functions.timefn import parse_timestamp
 from ..schema import COMMENT_SCHEMA, REACTION_COLS, REACTION_TYPES
 
@@ -52,12 +53,12 @@ def reaction_count(obj: str, rtype: str):
     return F.coalesce(F.col(f"{obj}.rx_{rtype}.summary.total_count").cast("long"), F.lit(0).cast("long"))
 
 
-def comments_from_pages(pages: DataFrame, post_id: str | None = None) -> DataFrame:
+def comments_from_pages(pages: DataFrame, post_id: str | None = None, toplevel: bool = False) -> DataFrame:
     """SRC1: explode landed API pages into comment rows (reference field mapping).
 
     ``post_id`` comes from a ``post_id=...`` partition folder when present.
     """
-    pid = F.col("post_id") if "post_id" in pages.columns else F.lit(post_id)
+    pid = _post_id(pages, post_id)
     c = pages.select(pid.alias("post_id"), F.explode("data").alias("c"))
 
     def s(path):
@@ -75,17 +76,29 @@ def comments_from_pages(pages: DataFrame, post_id: str | None = None) -> DataFra
         F.lit("").alias("user_profile_link"),
         F.lit("").alias("user_gender"),
         F.lit("").alias("is_verified"),
-        F.lit("").alias("language"),
+        script_language_of(F.col("c.message")).alias("language"),
         s("c.parent.id").alias("parent_comment_id"),
         s("c.permalink_url").alias("permalink_url"),
     )
+    if toplevel:
+        out = out.where("parent_comment_id = ''")
     return conform(out)
 
 
+def _post_id(df: DataFrame, post_id: str | None) -> Column:
+    """The rows' post; rows without one would drop out of every join, so they are an error."""
+    if "post_id" not in df.columns:
+        if post_id is None:
+            raise ValueError("no post_id: neither a column, a landing folder post_id=... nor an argument gives it")
+        return F.lit(post_id)
+    missing = F.raise_error(F.lit("a row has no post_id")) if post_id is None else F.lit(post_id)
+    return F.coalesce(F.col("post_id").cast("string"), missing.cast("string"))
+
+
 def read_comment_pages(spark: SparkSession, path: str, multi_line: bool = True,
-                       post_id: str | None = None) -> DataFrame:
+                       post_id: str | None = None, toplevel: bool = False) -> DataFrame:
     pages = spark.read.schema(COMMENT_PAGE_SCHEMA).option("multiLine", multi_line).json(path)
-    return comments_from_pages(pages, post_id)
+    return comments_from_pages(pages, post_id, toplevel)
 
 
 def load_comments(spark: SparkSession, path: str, fmt: str = "parquet",
@@ -95,14 +108,13 @@ def load_comments(spark: SparkSession, path: str, fmt: str = "parquet",
         return read_comment_pages(spark, path, post_id=post_id, **opts)
     if fmt == "csv":
         # All columns as strings; conform casts (no schema inference pass).
-        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        # A file with line breaks inside quotes needs multi_line=True and is then read by one task.
+        df = spark.read.option("header", True).option("multiLine", opts.pop("multi_line", False)).option("escape", '"').csv(path)
     elif fmt == "parquet":
         df = spark.read.parquet(path)
     else:
         raise ValueError(f"unknown format {fmt!r}")
-    if "post_id" not in df.columns:
-        df = df.withColumn("post_id", F.lit(post_id))
-    return conform(df)
+    return conform(df.withColumn("post_id", _post_id(df, post_id)))
 
 
 def conform(df: DataFrame, keep_extra: bool = True) -> DataFrame:

@@ -46,6 +46,8 @@ def comments_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 11 == 0,
                F.concat(F.lit(" #topic"), (F.col("doc_id") % 5).cast("string"))).otherwise(F.lit("")),
         F.when(F.col("doc_id") % 13 == 0, F.lit(" 😅😅 ok 🙌")).otherwise(F.lit("")),
+        # no-break and ideographic spaces, and a link that ends at one
+        F.when(F.col("doc_id") % 17 == 0, F.lit("\u00a0#news\u3000later www.a.example/b\u00a0after")).otherwise(F.lit("")),
     )
     user = F.concat(F.lit("user_"), F.col("user_id").cast("string"))
     base = (docs.join(own, "doc_id", "inner")
@@ -70,49 +72,3 @@ def comments_v(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("neutral").alias("sentiment"),
         F.concat(F.col("event_type"), F.lit("_"), (F.col("doc_id") % 3).cast("string")).alias("emotion"),
     )
-
-
-# The same adapter as DuckDB SQL, used by the oracle queries (a CTE list).
-COMMENTS_V_SQL = """
-nd AS (SELECT count(*) AS n FROM documents),
-rx AS (
-  SELECT e.event_id % (SELECT n FROM nd) AS doc_id, e.event_id % 7 AS rtype,
-         CAST(floor(e.value / 25) AS BIGINT) AS v
-  FROM events e),
-rxp AS (
-  SELECT doc_id,
-    sum(CASE WHEN rtype = 0 THEN v END) AS like_count,
-    sum(CASE WHEN rtype = 1 THEN v END) AS love_count,
-    sum(CASE WHEN rtype = 2 THEN v END) AS haha_count,
-    sum(CASE WHEN rtype = 3 THEN v END) AS wow_count,
-    sum(CASE WHEN rtype = 4 THEN v END) AS sad_count,
-    sum(CASE WHEN rtype = 5 THEN v END) AS angry_count,
-    sum(CASE WHEN rtype = 6 THEN v END) AS care_count
-  FROM rx GROUP BY doc_id),
-comments_v AS (
-  SELECT 'post_' || CAST(d.doc_id % 4 AS VARCHAR) AS post_id,
-    'cmt_' || CAST(d.doc_id AS VARCHAR) AS comment_id,
-    'user_' || CAST(e.user_id AS VARCHAR) AS user_id,
-    'user_' || CAST(e.user_id AS VARCHAR) AS user_name,
-    d.text
-      || CASE WHEN d.doc_id % 7 = 0 THEN ' why is that?' ELSE '' END
-      || CASE WHEN d.doc_id % 11 = 0 THEN ' #topic' || CAST(d.doc_id % 5 AS VARCHAR) ELSE '' END
-      || CASE WHEN d.doc_id % 13 = 0 THEN ' 😅😅 ok 🙌' ELSE '' END AS comment_text,
-    CAST(e.ts AS TIMESTAMP) AS created_time,
-    CAST(coalesce(r.like_count, 0) AS BIGINT) AS like_count,
-    CAST(coalesce(r.love_count, 0) AS BIGINT) AS love_count,
-    CAST(coalesce(r.haha_count, 0) AS BIGINT) AS haha_count,
-    CAST(coalesce(r.wow_count, 0) AS BIGINT) AS wow_count,
-    CAST(coalesce(r.sad_count, 0) AS BIGINT) AS sad_count,
-    CAST(coalesce(r.angry_count, 0) AS BIGINT) AS angry_count,
-    CAST(coalesce(r.care_count, 0) AS BIGINT) AS care_count,
-    CAST(floor(e.value / 100) AS BIGINT) AS reply_count,
-    d.lang AS language,
-    CAST(NULL AS VARCHAR) AS permalink_url,
-    CASE WHEN l.toxic = 1 THEN 'negative' WHEN l.quality = 1 THEN 'positive' ELSE 'neutral' END AS sentiment,
-    e.event_type || '_' || CAST(d.doc_id % 3 AS VARCHAR) AS emotion
-  FROM documents d
-  JOIN events e ON e.event_id = d.doc_id
-  LEFT JOIN rxp r ON r.doc_id = d.doc_id
-  LEFT JOIN labels l ON l.doc_id = d.doc_id)
-"""

@@ -40,13 +40,13 @@ def comment_row_stream(spark: SparkSession, path: str, fmt: str = "parquet",
     return r.load(path)
 
 
-def dedupe(stream: DataFrame, delay: str = "1 day") -> DataFrame:
+def dedupe(stream: DataFrame, delay: str) -> DataFrame:
     """STR2: drop re-delivered comments (same post and comment id) within the watermark."""
     return (stream.withWatermark("created_time", delay)
             .dropDuplicatesWithinWatermark(["post_id", "comment_id"]))
 
 
-def timeline_counts(stream: DataFrame, width: str = "1 hour", delay: str = "1 day") -> DataFrame:
+def timeline_counts(stream: DataFrame, delay: str, width: str = "1 hour") -> DataFrame:
     """STR3: comments per tumbling window per post (zero bins are filled when read)."""
     return (stream.filter(F.col("created_time").isNotNull()).withWatermark("created_time", delay)
             .groupBy("post_id", F.window("created_time", width).alias("w"))
@@ -54,7 +54,7 @@ def timeline_counts(stream: DataFrame, width: str = "1 hour", delay: str = "1 da
             .select("post_id", F.col("w.start").alias("bin_start"), "count"))
 
 
-def hourly_sentiment_counts(stream: DataFrame, width: str = "1 hour", delay: str = "1 day") -> DataFrame:
+def hourly_sentiment_counts(stream: DataFrame, delay: str, width: str = "1 hour") -> DataFrame:
     """STR4: comments per window, post and sentiment."""
     return (stream.filter(F.col("created_time").isNotNull()).withWatermark("created_time", delay)
             .groupBy("post_id", F.window("created_time", width).alias("w"), "sentiment")

@@ -108,13 +108,3 @@ def test_time_window_drops_rows_without_time(spark):
     rows = [{"post_id": "p", "comment_id": "a", "comment_text": "x", "created_time": "2024-01-01T00:00:00+0000"},
             {"post_id": "p", "comment_id": "b", "comment_text": "y", "created_time": None}]
     assert FL.time_window(make_comments(spark, rows)).count() == 1  # R16: even for the whole range
-
-
-def test_similarity_topn_parity_cap(spark):
-    from quillstat.operators import similarity as SIM
-    t = "the same long comment text here"
-    rows = [{"post_id": "p", "comment_id": f"c{i}", "comment_text": t,
-             "created_time": f"2024-01-01T00:0{i}:00+0000"} for i in range(5)]
-    df = make_comments(spark, rows)
-    assert SIM.similar_pairs(df).count() == 10
-    assert SIM.similar_pairs(df, topn=3).count() == 3  # only the first 3 comments, as the reference

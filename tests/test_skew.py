@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillstat.operators import similarity as SIM
 from quillstat.operators import timeseries as TS
-from test_similarity import py_greedy, py_shingles
+from similar_texts import leaders_of, shingles
 
 
 def _hot(spark, sf001):
@@ -30,13 +30,13 @@ def test_hot_post_similarity_blocks(spark, sf001):
     df = _hot(spark, sf001)
     items = [(r["cid"], r["comment_text"]) for r in
              SIM.similarity_items(df).orderBy("ord", "cid").select("cid", "comment_text").collect()]
-    sh = [py_shingles(t) for _, t in items]
+    sh = [shingles(t) for _, t in items]
     want = {(items[i][0], items[j][0]) for i in range(len(items)) for j in range(i + 1, len(items))
             if len(sh[i] & sh[j]) / max(1, len(sh[i] | sh[j])) >= 0.55}
     # items_per_block=4 -> 7 blocks for the single post, so verification spans 49 block pairs
     got = {(r["cid_a"], r["cid_b"]) for r in SIM.similar_pairs(df, items_per_block=4).collect()}
     assert got == want
-    lead = py_greedy(items)
+    lead = leaders_of(items)
     sizes = {}
     for l in lead.values():
         sizes[l] = sizes.get(l, 0) + 1

@@ -19,11 +19,11 @@ def _land(spark, sf001):
 def test_stream_equals_batch(spark, sf001):
     d, batch = _land(spark, sf001)
     st = enrich(S.comment_row_stream(spark, d + "/in", max_files_per_trigger=1))
-    tl = S.run_to_end(S.timeline_counts(st), "tl_stream", d + "/ck1", mode="complete")
+    tl = S.run_to_end(S.timeline_counts(st, delay="1 day"), "tl_stream", d + "/ck1", mode="complete")
     want = batch.groupBy("post_id", F.date_trunc("hour", "created_time").alias("bin_start")).agg(
         F.count(F.lit(1)).alias("count"))
     assert {tuple(r) for r in tl.collect()} == {tuple(r) for r in want.collect()}
-    hs = S.run_to_end(S.hourly_sentiment_counts(st), "hs_stream", d + "/ck2", mode="complete")
+    hs = S.run_to_end(S.hourly_sentiment_counts(st, delay="1 day"), "hs_stream", d + "/ck2", mode="complete")
     assert hs.agg(F.sum("count")).first()[0] == batch.count()
     # part files are read in modification-time order, so allow a month of lateness here
     dd = S.run_to_end(S.dedupe(st, delay="60 days"), "dd_stream", d + "/ck3")
