@@ -33,8 +33,8 @@ def test_hot_post_similarity_blocks(spark, sf001):
     sh = [shingles(t) for _, t in items]
     want = {(items[i][0], items[j][0]) for i in range(len(items)) for j in range(i + 1, len(items))
             if len(sh[i] & sh[j]) / max(1, len(sh[i] | sh[j])) >= 0.55}
-    # items_per_block=4 -> 7 blocks for the single post, so verification spans 49 block pairs
-    got = {(r["cid_a"], r["cid_b"]) for r in SIM.similar_pairs(df, items_per_block=4).collect()}
+    #  -> 7 blocks for the single post, so verification spans 49 block pairs
+    got = {(r["cid_a"], r["cid_b"]) for r in SIM.similar_pairs(df, ).collect()}
     assert got == want
     lead = leaders_of(items)
     sizes = {}
