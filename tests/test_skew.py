@@ -26,15 +26,15 @@ def test_hot_post_contagion_buckets(spark, sf001):
     assert got == want
 
 
-def test_hot_post_similarity_blocks(spark, sf001):
+def test_hot_post_similarity_blocks(spark, sf001, monkeypatch):
     df = _hot(spark, sf001)
     items = [(r["cid"], r["comment_text"]) for r in
              SIM.similarity_items(df).orderBy("ord", "cid").select("cid", "comment_text").collect()]
     sh = [shingles(t) for _, t in items]
     want = {(items[i][0], items[j][0]) for i in range(len(items)) for j in range(i + 1, len(items))
             if len(sh[i] & sh[j]) / max(1, len(sh[i] | sh[j])) >= 0.55}
-    #  -> 7 blocks for the single post, so verification spans 49 block pairs
-    got = {(r["cid_a"], r["cid_b"]) for r in SIM.similar_pairs(df, ).collect()}
+    monkeypatch.setattr(SIM, "ITEMS_PER_BLOCK", 4)  # many blocks for the single post
+    got = {(r["cid_a"], r["cid_b"]) for r in SIM.similar_pairs(df).collect()}
     assert got == want
     lead = leaders_of(items)
     sizes = {}
