@@ -126,6 +126,17 @@ SELECT st.post_id, n_bins, peak_index, round(slope, 6) AS slope, round(intercept
 FROM st JOIN pk USING (post_id) LEFT JOIN ft USING (post_id)
 """)
 
+SQL["decay_curve"] = W(_BINS + """
+, st AS (SELECT post_id, count(*) AS n_bins, max(count) AS mx FROM tl GROUP BY post_id),
+pk AS (SELECT tl.post_id, min(idx) AS peak_index FROM tl JOIN st USING (post_id) WHERE count = mx GROUP BY tl.post_id),
+ft AS (SELECT tl.post_id, regr_slope(ln(greatest(count, 1e-6)), CAST(idx - pk.peak_index AS DOUBLE)) AS slope,
+              regr_intercept(ln(greatest(count, 1e-6)), CAST(idx - pk.peak_index AS DOUBLE)) AS intercept
+       FROM tl JOIN pk USING (post_id) JOIN st USING (post_id)
+       WHERE st.n_bins >= 4 AND idx >= pk.peak_index GROUP BY tl.post_id)
+SELECT tl.post_id, idx, t, count, round(CASE WHEN idx >= peak_index THEN exp(intercept + slope * (idx - peak_index)) END, 6) AS fitted
+FROM tl JOIN pk USING (post_id) LEFT JOIN ft USING (post_id)
+""")
+
 SQL["half_life"] = W(_BINS + """
 , c AS (SELECT *, sum(count) OVER (PARTITION BY post_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
                sum(count) OVER (PARTITION BY post_id) AS total FROM tl)
@@ -225,6 +236,17 @@ SELECT rn, post_id, {_TS}, count_history, round(pct_advocacy, 6) AS pct_advocacy
 FROM j
 """)
 
+# One current row per post, all of one time: the upsert view is these rows, in order of post.
+SQL["benchmark_current"] = "WITH k AS (" + BASE_SQL["kpis"] + """),
+o AS (SELECT post_id, total_comments, advocacy, safety_score, avg_reactions_per_comment,
+             row_number() OVER (ORDER BY post_id) AS rn FROM k)
+SELECT a.rn, a.post_id, '2030-01-01 00:00:00' AS ts, count(*) AS count_history,
+""" + ",\n".join(
+    f"  round(100.0 * count(*) FILTER (WHERE b.{m} <= a.{m}) / count(b.{m}), 6) AS pct_{m}"
+    for m in ("advocacy", "safety_score", "avg_reactions_per_comment", "total_comments")) + """
+FROM o a JOIN o b ON b.rn BETWEEN a.rn - 19 AND a.rn GROUP BY a.rn, a.post_id
+"""
+
 SQL["kpi_deltas"] = W(_SNAPS + f"""
 , po AS (SELECT a.rn, max(b.rn) AS prn FROM o a LEFT JOIN o b ON b.rn < a.rn AND b.post_id <> a.post_id GROUP BY a.rn)
 SELECT a.rn, a.post_id, strftime(a.ts, '%Y-%m-%d %H:%M:%S') AS ts, p.post_id AS prev_post_id,

@@ -57,9 +57,23 @@ def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
 
 def latest_per_post(snapshots: DataFrame) -> DataFrame:
     """The upsert view of SNK1: newest snapshot per post (aggregate, no window)."""
-    cols = [c for c in snapshots.columns if c != "post_id"]
-    latest = snapshots.groupBy("post_id").agg(F.max_by(F.struct(*cols), F.col("ts")).alias("s"))
-    return latest.select("post_id", *[F.col(f"s.{c}").alias(c) for c in cols])
+    # newest first by time; rows of one post and time are told apart by their values
+    cols = ["ts"] + [c for c in snapshots.columns if c not in ("post_id", "ts")]
+    latest = snapshots.groupBy("post_id").agg(F.max(F.struct(*cols)).alias("s"))
+    return latest.select(*[F.col(c) if c == "post_id" else F.col(f"s.{c}").alias(c) for c in snapshots.columns])
+
+
+def snapshot(kpis: DataFrame, ts) -> DataFrame:
+    """SNK1: the current KPIs (``insights_kpis``) as stamped snapshot rows, one per post."""
+    stamped = kpis.withColumn("ts", F.lit(ts).cast("timestamp"))
+    return stamped.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in KPI_SNAPSHOT_SCHEMA.fields])
+
+
+def benchmark_current(current: DataFrame, history: DataFrame, window: int = 20) -> DataFrame:
+    """AGG35 for the current snapshots: each against the last ``window`` posts, one row per post (the upsert view)."""
+    cols = [f.name for f in KPI_SNAPSHOT_SCHEMA.fields]
+    view = latest_per_post(history.select(*cols).unionByName(current.select(*cols)))
+    return benchmark_percentiles(view, window).join(current.select("post_id").distinct(), "post_id", "left_semi")
 
 
 def global_row_number(df: DataFrame, order: list[str], name: str = "rn",
@@ -83,7 +97,7 @@ def global_row_number(df: DataFrame, order: list[str], name: str = "rn",
 
 
 def _ordered(snapshots: DataFrame) -> DataFrame:
-    return cut_lineage(global_row_number(snapshots, ["ts", "post_id"]))
+    return global_row_number(snapshots, ["ts", "post_id"])
 
 
 def benchmark_percentiles(snapshots: DataFrame, window: int = 20,
@@ -91,16 +105,20 @@ def benchmark_percentiles(snapshots: DataFrame, window: int = 20,
     """AGG35/AGG36: for each snapshot, the percent of the last ``window``
     snapshots (itself included) whose metric is <= its own; count_history."""
     o = ordered if ordered is not None else _ordered(snapshots)
-    me = o.select("rn", "post_id", "ts", *[F.col(m).alias(f"_v_{m}") for m in metrics])
-    back = me.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(window - 1).cast("long"))).alias("_k"))
-    back = back.withColumn("_rn2", F.col("rn") - F.col("_k")).filter(F.col("_rn2") >= 1)
-    other = o.select(F.col("rn").alias("_rn2"), *[F.col(m).alias(f"_o_{m}") for m in metrics])
-    j = back.join(other, "_rn2")
-    aggs = [F.count(F.lit(1)).cast("long").alias("count_history")]
-    for m in metrics:
-        aggs.append((100.0 * count_if(F.col(f"_o_{m}") <= F.col(f"_v_{m}")) /
-                     F.count(F.col(f"_o_{m}"))).alias(f"pct_{m}"))
-    return j.groupBy("rn", "post_id", "ts").agg(*aggs)
+    # Blocks of row numbers; the last rows of a block are copied ahead of the next one,
+    # so a window inside a block sees all it needs.
+    blk = F.floor((F.col("rn") - 1) / BLOCK).cast("long")
+    ahead = F.when((F.col("rn") - 1) % BLOCK >= BLOCK - (window - 1), blk + 1)
+    c = o.select("rn", "post_id", "ts", *metrics, blk.alias("_own"), F.explode(F.array_compact(F.array(blk, ahead))).alias("_blk"))
+    w = Window.partitionBy("_blk").orderBy("rn").rowsBetween(-(window - 1), 0)
+    c = c.withColumn("_seen", F.collect_list(F.struct(*metrics)).over(w)).where("_blk = _own")
+
+    def pct(m: str) -> Column:
+        known = F.filter("_seen", lambda x: x[m].isNotNull())
+        at_most = F.filter(known, lambda x: x[m] <= F.col(m))
+        return F.when(F.size(known) > 0, 100.0 * F.size(at_most) / F.greatest(F.size(known), F.lit(1))).alias(f"pct_{m}")
+
+    return c.select("rn", "post_id", "ts", F.size("_seen").cast("long").alias("count_history"), *[pct(m) for m in metrics])
 
 
 def kpi_deltas(snapshots: DataFrame, metrics=METRICS_DELTA, ordered: DataFrame | None = None) -> DataFrame:

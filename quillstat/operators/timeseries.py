@@ -140,6 +140,14 @@ def decay_fit(df: DataFrame) -> DataFrame:
                       F.round(F.when(F.col("slope") < 0, -1.0 / F.col("slope")), 2).alias("tau_bins"))
 
 
+def decay_curve(df: DataFrame) -> DataFrame:
+    """WIN6: the fitted decay per bin, exp(intercept + slope * bins since the peak); null before the peak and without a fit."""
+    fit = decay_fit(df).select("post_id", "peak_index", "slope", "intercept")
+    since = F.col("idx") - F.col("peak_index")
+    value = F.when(since >= 0, F.exp(F.col("intercept") + F.col("slope") * since))
+    return timeline(df).join(fit, "post_id").select("post_id", "idx", "t", "count", value.alias("fitted"))
+
+
 def half_life(df: DataFrame) -> DataFrame:
     """WIN7/WIN8: first bin where the running count reaches half of all, and 10."""
     tl = timeline(df)

@@ -25,6 +25,7 @@ def queries(enriched):
         "spikes_literal": _on(enriched, TS.spikes, mode="literal"),
         "spikes_trailing": _on(enriched, TS.spikes, mode="trailing"),
         "decay_fit": _on(enriched, TS.decay_fit),
+        "decay_curve": _on(enriched, TS.decay_curve),
         "half_life": _on(enriched, TS.half_life),
         "reaction_curve": _on(enriched, TS.reaction_curve),
         "contagion": _on(enriched, TS.contagion),

@@ -51,7 +51,12 @@ def _history_queries(enriched):
     def latest(spark, sf_dir):
         return _fmt(H.latest_per_post(_snaps(spark, sf_dir)))
 
-    return {"kpi_snapshots": snaps, "benchmark_percentiles": pct, "kpi_deltas": deltas,
+    def current(spark, sf_dir):
+        from ..operators import kpis as K
+        now = H.snapshot(K.insights_kpis(enriched(spark, sf_dir)), "2030-01-01 00:00:00")
+        return _fmt(H.benchmark_current(now, _snaps(spark, sf_dir)))
+
+    return {"benchmark_current": current, "kpi_snapshots": snaps, "benchmark_percentiles": pct, "kpi_deltas": deltas,
             "latest_snapshot": latest}
 
 
