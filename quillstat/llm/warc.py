@@ -122,7 +122,7 @@ def write_archives(records: DataFrame, folder: str) -> DataFrame:
         def start():
             nonlocal waiting, archive, name
             name = f"{uuid.uuid4().hex}.warc.zst"
-            archive, waiting = Archive(system.open_output_stream(f"{base}/{name}"), waiting), []
+            archive, waiting = Archive(system.open_output_stream(f"{base}/{name}", compression=None), waiting), []
 
         def close():
             nonlocal archive
@@ -205,7 +205,7 @@ def read_archives(listing: DataFrame) -> DataFrame:
             for path in b.column("path").to_pylist():
                 system, name = _file(path)
                 rows = []
-                with system.open_input_stream(name) as f:
+                with system.open_input_stream(name, compression=None) as f:
                     for head, http, payload in read_records(frames(f)):
                         digest = base64.b32decode(head["warc-payload-digest"].removeprefix("sha1:")).hex()
                         kind = head["warc-type"]
