@@ -38,7 +38,7 @@ END_ID = 2
 #: Pieces of one length that are ranked together; larger groups are split.
 RANKED_TOGETHER = 256
 #: Most word forms a task keeps encoded.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 _SPECIAL = "<|endoftext|>"
 
 

@@ -53,6 +53,8 @@ KEYBOARD_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
 _DATE = re.compile(r"(?a)(?:(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])"
                    r"|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)")
 LONGEST_WORD, LONGEST_PERIOD = 24, 8
+#: Rows that are rewritten at a time.
+ROWS = 500
 
 
 class Span(NamedTuple):
@@ -230,7 +232,7 @@ def redact_secrets(docs: DataFrame, vocabulary: str | None = None, bits: float =
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer_words(path)
-        for b in batches:
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             texts = b.column("text").to_pylist()
             new = [redact(t, secret_spans(t, words, bits)) if t else t for t in texts]
             cols = {name: b.column(name) for name in b.schema.names}

@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -72,22 +73,23 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 7) -> t
     if not 0 < n1 < len(y):
         return np.zeros(BUCKETS, np.float32), base
     known: dict[str, int] = {}
-    grams: list[np.ndarray] = []
+    flat_grams, ends = array("i"), array("i")
     docs = []
     for t in texts:
         ids = []
         for w in words_of(t):
             k = known.get(w)
             if k is None:
-                k = known[w] = len(grams)
-                grams.append(np.array([zlib.crc32(p.encode()) % BUCKETS for p in parts_of(w)], dtype=np.int32))
+                k = known[w] = len(ends)
+                flat_grams.extend(zlib.crc32(p.encode()) % BUCKETS for p in parts_of(w))
+                ends.append(len(flat_grams))
             ids.append(k)
         u, c = np.unique(np.array(ids, dtype=np.int64), return_counts=True)
-        docs.append((u, (c / max(LEAST_WORDS, len(ids))).astype(np.float32)))
+        docs.append((u.astype(np.int32), (c / max(LEAST_WORDS, len(ids))).astype(np.float32)))
     del known
-    g_len = np.array([len(g) for g in grams] or [0])
-    g_at = np.concatenate(([0], np.cumsum(g_len)[:-1]))
-    flat = np.concatenate(grams) if grams else np.zeros(0, np.int32)
+    flat = np.frombuffer(flat_grams, np.int32) if flat_grams else np.zeros(0, np.int32)
+    g_len = np.diff(np.concatenate(([0], np.frombuffer(ends, np.int32)))) if ends else np.zeros(1, np.int64)
+    g_at = np.cumsum(g_len) - g_len
     rng = np.random.default_rng(seed)
     emb = np.zeros((BUCKETS, DIM), np.float32)  # an n-gram that training never meets adds nothing
     soft = rng.normal(0, 1, (DIM, 2)).astype(np.float32)
@@ -141,7 +143,7 @@ class _Grams(dict):
 class Scorer(dict):
     """Probability of label 1 of whole texts; keeps the log-odds of words and n-grams it has met."""
 
-    limit = 500_000
+    limit = 150_000
 
     def __init__(self, table: np.ndarray, bias: float):
         super().__init__()
@@ -150,6 +152,7 @@ class Scorer(dict):
     def __missing__(self, word: str) -> float:
         if len(self) >= self.limit:
             self.clear()
+        if len(self.grams) >= self.limit:
             self.grams.clear()
         parts = parts_of(word)
         v = self[word] = sum(map(self.grams.__getitem__, parts)) / len(parts)
