@@ -9,9 +9,12 @@ of windows under one anchor is one row.  Anchors that occur once are done.  If
 all runs of a repeated anchor are equal, their windows are repeats.  Otherwise
 the distinct runs are brought together and the suffix array of their segments
 gives the maximal repeats among them (:mod:`.suffix`).  An anchor with more than
-``TOGETHER`` rows is never brought together: its distinct runs are compared
-window by window, as 128-bit hashes that Spark counts.  Equal runs are met by
-two 64-bit hashes (anchor and run).
+``TOGETHER`` rows is never brought together: its distinct runs are cut into
+cells of ``CELL`` windows at fixed places beside the anchor, and Spark counts
+128-bit hashes.  A cell whose bytes common to all its windows occur once is
+done, one whose whole bytes occur again is a repeat, and only the others are
+compared window by window.  Equal runs are met by two 64-bit hashes (anchor and
+run).
 
 Defined results: a null or empty text has no bytes and keeps the empty string;
 texts shorter than ``least`` bytes lose nothing; repeated rows are repeats of
@@ -37,11 +40,14 @@ from .common import documents, partitions, written
 LEAST = 200
 #: Rows of an anchor up to which its distinct runs are compared in one task.
 TOGETHER = 2000
+#: Windows of a cell.
+CELL = 8
 #: Segment bytes that a suffix array is built over at a time (whole anchors), and runs a task remembers as sent.
 SORTED_BYTES, REMEMBERED = 2 << 20, 1_000_000
 UNIFORM, MIXED, HOT = 0, 1, 2
 
 _RANGES = "array<struct<a:long,b:long>>"
+_CELLS = "array<struct<o:long,core:binary,whole:binary,windows:array<binary>>>"
 
 
 def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -87,16 +93,33 @@ def repeated_anchors(src: DataFrame, least: int, together: int = TOGETHER) -> Da
                    .where("n > 1").select("h", F.when(same, UNIFORM).when(F.col("n") > together, HOT).otherwise(MIXED).alias("kind")), "repeated-anchors")
 
 
+def cells_of(segment: bytes, n: int, anchor: int, least: int) -> list[dict]:
+    """The cells of a run: first window, hash of the bytes all windows of the cell share, of all its bytes, and of each window.
+
+    ``anchor`` is the anchor's place in the segment; cells lie on a grid beside it.
+    """
+    from xxhash import xxh3_128_digest
+    out, o = [], 0
+    while o < n:
+        cell = (anchor - o) // CELL
+        end = min(n, anchor - CELL * cell + 1)  # after the cell's last window
+        core = anchor - CELL * cell
+        out.append({"o": o, "core": xxh3_128_digest(segment[core:core + least - CELL + 1] + bytes([cell])),
+                    "whole": xxh3_128_digest(segment[o:end - 1 + least] + bytes([cell])),
+                    "windows": [xxh3_128_digest(segment[i:i + least]) for i in range(o, end)]})
+        o = end
+    return out
+
+
 def candidate_runs(src: DataFrame, repeated: DataFrame, least: int) -> DataFrame:
-    """Runs of repeated anchors: ``_k, _t, first, n, kind, h, run, segment, windows``.
+    """Runs of repeated anchors: ``_k, _t, first, n, kind, h, run, segment, cells``.
 
     The first time a task meets a run of an anchor that is not uniform, the row
-    also carries the run's bytes, or its windows' hashes where the anchor is hot.
+    also carries the run's bytes, or its cells where the anchor is hot.
     """
     wanted = anchor_rows(src, least, False).join(repeated, "h").groupBy("_k").agg(F.collect_set(F.struct("h", "kind")).alias("wanted"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_128_digest
         sent: set[tuple[int, int]] = set()
         for b in batches:
             data, offsets = _bytes_of(b.column("_bytes"))
@@ -109,7 +132,7 @@ def candidate_runs(src: DataFrame, repeated: DataFrame, least: int) -> DataFrame
                 place = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 hit = np.flatnonzero(known[place] == h)
                 kind, h, run, text, first, n = kinds[place[hit]], h[hit], run[hit], r.text[hit], r.first[hit], r.n[hit]
-                segments, windows = [None] * len(hit), [None] * len(hit)
+                segments, cells = [None] * len(hit), [None] * len(hit)
                 some = np.flatnonzero(kind != UNIFORM)
                 _, one = np.unique(np.stack([h[some], run[some]], axis=1), axis=0, return_index=True) if len(some) else (None, [])
                 for i in some[one].tolist():
@@ -121,16 +144,17 @@ def candidate_runs(src: DataFrame, repeated: DataFrame, least: int) -> DataFrame
                     if kind[i] == MIXED:
                         segments[i] = segment
                     else:
-                        windows[i] = [xxh3_128_digest(segment[o:o + least]) for o in range(int(n[i]))]
+                        cells[i] = cells_of(segment, int(n[i]), int(r.anchor[hit[i]] - first[i]), least)
                 if len(sent) > REMEMBERED:
                     sent.clear()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(k[text], pa.int64()), pa.array(t[text], pa.int64()), pa.array(first, pa.int64()), pa.array(n, pa.int32()),
-                     pa.array(kind, pa.int32()), pa.array(h), pa.array(run), pa.array(segments, pa.binary()), pa.array(windows, pa.list_(pa.binary()))],
-                    names=["_k", "_t", "first", "n", "kind", "h", "run", "segment", "windows"])
+                     pa.array(kind, pa.int32()), pa.array(h), pa.array(run), pa.array(segments, pa.binary()), pa.array(cells, arrow_cells)],
+                    names=["_k", "_t", "first", "n", "kind", "h", "run", "segment", "cells"])
 
+    arrow_cells = to_arrow_schema(StructType.fromDDL(f"cells {_CELLS}")).field(0).type
     return written(src.join(wanted, "_k").select("_k", "_t", "_bytes", "wanted").mapInArrow(
-        rows, "_k long, _t long, first long, n int, kind int, h long, run long, segment binary, windows array<binary>"), "candidate-runs")
+        rows, f"_k long, _t long, first long, n int, kind int, h long, run long, segment binary, cells {_CELLS}"), "candidate-runs")
 
 
 def _covered(groups: Iterator[suffix.Repeat]) -> dict[int, list[dict[str, int]]]:
@@ -184,13 +208,22 @@ def mixed_ranges(candidates: DataFrame, least: int) -> DataFrame:
 
 
 def hot_ranges(candidates: DataFrame, least: int) -> DataFrame:
-    """``h, run, ranges`` for the runs of hot anchors, from counts of their windows."""
-    w = (candidates.where("windows is not null").select("h", "run", "windows").dropDuplicates(["h", "run"])
-         .select("h", "run", F.posexplode("windows").alias("o", "w")))
-    # a window's place under its anchor is fixed, so its runs differ wherever it occurs in several of them
-    again = w.groupBy("w").agg(F.min("run").alias("lo"), F.max("run").alias("hi")).where("lo <> hi").select("w")
-    return (w.join(again, "w").groupBy("h", "run")
-            .agg(F.collect_list(F.struct(F.col("o").cast("long").alias("a"), (F.col("o") + least).cast("long").alias("b"))).alias("ranges")))
+    """``h, run, ranges`` for the runs of hot anchors, from counts of their cells and windows."""
+    cells = (candidates.where("cells is not null").select("h", "run", "cells").dropDuplicates(["h", "run"])
+             .select("h", "run", F.explode("cells").alias("c")).select("h", "run", "c.*"))
+    # a run has each of its cells and windows once: they lie at different places beside the anchor
+    cores = cells.groupBy("core").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    cells = written(cells.join(cores, "core", "left_semi"), "hot-cells")
+    wholes = cells.groupBy("whole").agg(F.count(F.lit(1)).alias("times"), F.first("core").alias("core"), F.first("windows").alias("windows"))
+    lone = wholes.where("times = 1")
+    whole = (cells.join(wholes.where("times > 1").select("whole"), "whole", "left_semi")
+             .select("h", "run", F.col("o").alias("a"), (F.col("o") + F.size("windows") - 1 + least).alias("b")))
+    # windows of different cells, each cell once, where some cell of that core is still open
+    pool = wholes.join(lone.select("core").distinct(), "core", "left_semi").select(F.explode("windows").alias("w"))
+    found = pool.groupBy("w").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("w")
+    one = (cells.join(lone.select("whole"), "whole", "left_semi").select("h", "run", "o", F.posexplode("windows").alias("i", "w"))
+           .join(found, "w", "left_semi").select("h", "run", (F.col("o") + F.col("i")).alias("a"), (F.col("o") + F.col("i") + least).alias("b")))
+    return whole.unionByName(one).groupBy("h", "run").agg(F.collect_list(F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))).alias("ranges"))
 
 
 def repeated_ranges(src: DataFrame, least: int = LEAST, together: int = TOGETHER) -> DataFrame:
