@@ -3,7 +3,9 @@
 ``judge_urls`` gives every page a verdict.  Rules decide where one fits.  The
 rest is scored: a unigram Viterbi splits the concatenated names of hosts and
 paths into words, and a multinomial naive Bayes, fitted on the pages that a
-rule has decided, scores the words.
+rule has decided, scores the words.  The splitter knows every word of the page
+texts: the pieces of the distinct names meet the words' counts in a join, so
+no task and not the driver holds the vocabulary.
 
 Defined results: a null url, or one without ``://``, has an empty host and
 path, fits no rule and is judged by the class prior alone; with no page
@@ -16,12 +18,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, pages, written
+from .common import ascii_lower, pages, partitions, written
 
 #: (verdict, host, path).  Fixed values of the contract.
 RULES: tuple[tuple[str, str, str], ...] = (
@@ -32,9 +34,11 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("block", "net", "/fr/"),
 )
 
-#: Size bound of the dictionary the segmenter holds (most frequent words first).
+#: Size bound of ``dictionary`` (most frequent words first); ``judge_urls`` has no such bound.
 DICTIONARY_WORDS = 50_000
-LONGEST_WORD = 24
+SHORTEST_WORD, LONGEST_WORD = 2, 24
+#: Rows of pieces that leave a Python worker at a time, and parts that the rows of one piece are dealt to.
+PIECES, SALT = 50_000, 8
 
 
 def host_of(url: Column) -> Column:
@@ -59,12 +63,12 @@ def word_counts(pages_df: DataFrame) -> DataFrame:
     """Counts of the words of all page texts (tags left out): ``word, n``."""
     text = F.lower(F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), r"<[^>]*>", " "))
     return (pages_df.select(F.explode(F.split(text, r"[^\p{L}]+")).alias("word"))
-            .where(F.length("word").between(2, LONGEST_WORD))
+            .where(F.length("word").between(SHORTEST_WORD, LONGEST_WORD))
             .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
 
 def dictionary(pages_df: DataFrame, words: int = DICTIONARY_WORDS) -> dict[str, float]:
-    """Log probabilities of the most frequent words, at most ``words`` of them (a fixed size bound).
+    """Log probabilities of the most frequent words, at most ``words`` of them, for tables whose words are few.
 
     Words of one count are taken together or not at all, so the cut needs only
     the number of words per count.
@@ -108,15 +112,56 @@ def _names(urls: DataFrame) -> DataFrame:
         .select("host", "path", "x.part", "x.name")
 
 
-def segmented(names: DataFrame, logp: dict[str, float]) -> DataFrame:
-    """Distinct ``name`` -> ``name, words``."""
-    held = names.sparkSession.sparkContext.broadcast(logp)
+def _pieces(names: DataFrame) -> DataFrame:
+    """``k, name`` -> ``k, word``: each stretch of letters in a name that is long enough for a word, once per name."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch(ks: list[int], words: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ks, pa.int64()), pa.array(words, pa.string())], names=["k", "word"])
 
-    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ks, words = [], []
         for b in batches:
-            yield pd.DataFrame({"name": b["name"], "words": [segment(x, held.value) for x in b["name"]]})
+            for k, name in zip(b.column("k").to_pylist(), b.column("name").to_pylist()):
+                seen = set()
+                for i in range(len(name)):
+                    for j in range(i + SHORTEST_WORD, min(len(name), i + LONGEST_WORD) + 1):
+                        if name[j - 1] == "0" or name[i] == "0":
+                            break  # digits are in no word
+                        if (word := name[i:j]) not in seen:
+                            seen.add(word)
+                            ks.append(k)
+                            words.append(word)
+                    if len(ks) >= PIECES:
+                        yield batch(ks, words)
+                        ks, words = [], []
+        if ks:
+            yield batch(ks, words)
+
+    return names.mapInArrow(cut, "k long, word string")
+
+
+def segmented(names: DataFrame, counts: DataFrame) -> DataFrame:
+    """Distinct ``name`` -> ``name, words``; ``counts`` (``word, n``) is the whole vocabulary.
+
+    A name meets only the words that it contains: at most 23 that begin at a
+    letter.  The vocabulary is first reduced to the words that some name
+    contains; the rows of a piece that many names share are dealt by a salt.
+    """
+    total = counts.agg(F.sum("n").alias("n")).first()["n"]
+    distinct = written(names.select("name").distinct().withColumn("k", F.monotonically_increasing_id()), "names")
+    pieces = _pieces(distinct.repartition(partitions(names.sparkSession), "k"))
+    known = written(counts.join(pieces.select("word").distinct(), "word"), "known-words")
+    salted = known.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALT)))))
+    held = (pieces.withColumn("salt", F.pmod(F.col("k"), F.lit(SALT)).cast("int")).join(salted, ["word", "salt"])
+            .groupBy("k").agg(F.collect_list(F.struct("word", "n")).alias("held")))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.column("name").to_pylist()
+            words = [segment(name, {x["word"]: math.log(x["n"] / total) for x in held or ()})
+                     for name, held in zip(names, b.column("held").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("name"), pa.array(words, pa.list_(pa.string()))], names=["name", "words"])
 
-    return names.select("name").distinct().mapInPandas(split, "name string, words array<string>")
+    return distinct.join(held, "k", "left").select("name", "held").mapInArrow(split, "name string, words array<string>")
 
 
 def judge_urls(pages_df: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, alpha: float = 1.0) -> DataFrame:
@@ -131,7 +176,7 @@ def judge_urls(pages_df: DataFrame, rules: Sequence[tuple[str, str, str]] = RULE
         .select("page_id", "host", "path", "r.rule", F.col("r.verdict").alias("ruled"))
     places = written(urls.groupBy("host", "path", "ruled").agg(F.count(F.lit(1)).alias("n")), "places")
     names = _names(places)
-    words = written(segmented(names, dictionary(src)), "segments")
+    words = written(segmented(names, written(word_counts(src), "word-counts")), "segments")
     tokens = (names.join(words, "name")
               .select("host", "path", F.explode("words").alias("w"), "part")
               .select("host", "path", F.concat_ws(":", "part", "w").alias("token"))

@@ -98,5 +98,32 @@ def test_dictionary_is_bounded_and_whole_levels(spark):
     assert set(U.dictionary(two, 3)) == {"aa", "bb", "cc"} and U.dictionary(two, 2) == {}
 
 
+def test_segmented_knows_every_word(spark, monkeypatch):
+    """Words below any bound of the dictionary, and the total over all words; equal to the splitter with the whole vocabulary."""
+    html = "cheap " * 60 + "pills " * 50 + "ch eappills rareword " + " ".join(f"{a}{b}{c}" for a in "abcdefg" for b in "hijklmn" for c in "opqrstu")
+    t = table(spark, [(1, "u", html), (2, "u", None)])
+    counts = U.word_counts(t)
+    full = {r["word"]: r["n"] for r in counts.collect()}
+    logp = {w: math.log(n / sum(full.values())) for w, n in full.items()}
+    names = ["cheappills", "rarewordaho", "cheap0pills0", "0", "zz", "ünï", "ahobipcjq" * 30, "x" * 500, "rarewordrareword"]
+    monkeypatch.setattr(U, "DICTIONARY_WORDS", 2)
+    monkeypatch.setattr(U, "PIECES", 100)
+    got = U.segmented(spark.createDataFrame([(x,) for x in names + names[:3]], "name string"), counts).collect()
+    assert sorted(r["name"] for r in got) == sorted(names)
+    for r in got:
+        assert r["words"] == U.segment(r["name"], logp)
+    assert {r["name"]: r["words"] for r in got}["rarewordaho"] == ["rareword", "aho"]
+
+
+def test_judge_takes_words_below_the_old_bound(spark, monkeypatch):
+    """One page more of rare words than the dictionary takes must not change how names are split."""
+    monkeypatch.setattr(U.dictionary, "__defaults__", (1,))
+    rows = [(i, f"http://a{i}.net/es/cheappills", "cheap pills") for i in range(5)] + [(10 + i, f"http://b{i}.com/dailynews", "daily news") for i in range(5)]
+    rows += [(100, "http://x.org/pillscheap", ""), (101, "http://y.org/newsdaily", "")]
+    got = {r["page_id"]: r for r in U.judge_urls(table(spark, rows)).collect()}
+    assert got[100]["verdict"] == "block" and got[101]["verdict"] == "allow"
+    assert got[100]["score"] > 0 > got[101]["score"]
+
+
 def test_empty_table(spark):
     assert U.judge_urls(table(spark, [])).count() == 0
