@@ -40,10 +40,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LEAST_ASSIGNED = 6
 
-#: Credential words and separators whose value is put to the guess cost.
-CONTEXT = re.compile(
-    r"""(?ai)(?<![a-z0-9])(?:[a-z0-9]{1,24}[_-]){0,3}(?:password|passwd|passphrase|passcode|pwd|secret|token|api_?key|credentials?|private_?key)"""
-    r"""["']?\x20{0,4}(?::|=|:=|=>)\x20{0,4}["']?([^\s"'<>,;]{8,})""")
+_KEY = r"(?:pass(?:word|wd|phrase|code)|pwd|secret|token|credentials?|(?:api|secret|access|private|auth|account|signing|encryption|master)[\x20_-]?key)"
+_QUOTED = r"""{0}([^{0}\\\r\n]*+(?:\\.[^{0}\\\r\n]*+)*+){0}"""
+#: Credential words and separators whose value is put to the guess cost, whatever stands before the word.  A quoted
+#: value ends at its closing quote, any other (also one whose quote stays open on its line) at white space; a value
+#: that begins with a credential word and a separator is left to that word.
+CONTEXT = re.compile(rf"""(?ai){_KEY}["']?[\x20\t]*+(?::=|=>|:|=)[\x20\t]*+"""
+                     rf"""(?>{_QUOTED.format('"')}|{_QUOTED.format("'")}|(?!{_KEY}["']?[\x20\t]*+[:=])["']?(\S++))""")
+LEAST_GUESSED = 8
 _HINT = re.compile(r"(?ai)pass|pwd|secret|token|key|credential")
 
 #: Guesses, as a power of two, from which a value counts as a secret.
@@ -175,8 +179,8 @@ def secret_spans(text: str, words: dict[str, int], bits: float = SECRET_BITS) ->
     if (":" in text or "=" in text) and _HINT.search(text):
         held = list(found)
         for m in CONTEXT.finditer(text):
-            a, b = m.span(1)
-            if not any(s.start <= a and b <= s.end for s in held) and guess_cost(m[1], words)[0] >= bits:
+            a, b = m.span(m.lastindex)
+            if b - a >= LEAST_GUESSED and not any(s.start <= a and b <= s.end for s in held) and guess_cost(text[a:b], words)[0] >= bits:
                 found.append(Span(a, "guess", b))
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind)))
 

@@ -59,6 +59,32 @@ def test_spans_beside_the_patterns():
     assert S.redact(text, spans) == 'client passphrase: "[secret]" and pwd = password1'
 
 
+def test_values_of_all_contexts():
+    """Names glued to others, any number of spaces and tabs, more key names, commas in a value, quotes of both kinds."""
+    hard = "vT9#kQ2!mZ7@xW4"
+    for before, value, after in [
+            ('dbPassword = "', "x!Y#9$kL2@pQ7&", '"'), ("userpwd: ", hard, ""), ("pwd = " + " " * 9, hard, ""), ("pwd" + " " * 9 + "= ", hard, "\nnext"),
+            ("passphrase:\t", hard, " x"), ("passphrase\t:\t ", hard, ""), ("secret_key: ", hard, ""), ("aws_secret_access_key = ", hard, ""),
+            ("api-key: ", hard, ""), ("a_b_c_d_e_f_private-key=>", hard, ""), ("pwd: ", "vT9#kQ2,mZ7@xW4", ""), ("pwd: ", "vT9#kQ2;mZ7<xW'4", " b"),
+            ('{"pwd":"', "vT9#k Q2,mZ7@xW4", '","user":"bob"}'), ("pwd='", 'vT9"kQ2 mZ7@xW4', "' b"), ('pwd="', r'vT9\"kQ2 mZ7@xW4', '" b'),
+            ('pwd="', "vT9#kQ2!mZ7@xW4", " left open\n"), ("secret: password: ", hard, ""), ("note pwd=", hard, "\t")]:
+        text = before + value + after
+        spans = S.secret_spans(text, WORDS)
+        assert [text[s.start:s.end] for s in spans if s.kind == "guess"] == [value], text
+        assert S.redact(text, [s for s in spans if s.kind == "guess"]) == before + "[secret]" + after
+    for text in ('pwd="abc",user="bob_the_builder9#"', 'pwd="",x="vT9#kQ2!mZ7@xW4"', "pwd: short#1", "pwd vT9#kQ2!mZ7@xW4", "pwd:\nvT9#kQ2!mZ7@xW4"):
+        assert S.secret_spans(text, WORDS) == [], text
+
+
+def test_contexts_take_linear_time():
+    import time
+    at = time.perf_counter()
+    for part in ("pwd=", 'pwd="', "pwd ", "secret: ", "pwd='\\", 'pwd=\\"'):
+        list(S.CONTEXT.finditer(part * 100_000))
+    list(S.CONTEXT.finditer("pwd" + " " * 500_000 + "=" + " " * 500_000))
+    assert time.perf_counter() - at < 20
+
+
 def test_redact_joins_overlaps():
     assert S.redact("abcdefgh", [S.Span(1, "assign", 5), S.Span(3, "hex", 6)], "*") == "a*gh"
 
