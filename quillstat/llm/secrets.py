@@ -54,9 +54,11 @@ _HINT = re.compile(r"(?ai)pass|pwd|secret|token|key|credential")
 SECRET_BITS = 40.0
 
 KEYBOARD_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
-_DATE = re.compile(r"(?a)(?:(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])"
-                   r"|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)\d\d|(?:19|20)\d\d)")
+#: The forms of a date: year first, day first, a year alone.
+_DATES = tuple(map(re.compile, (r"(?a)(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])",
+                                r"(?a)(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\1(?:19|20)\d\d", r"(?a)(?:19|20)\d\d")))
 LONGEST_WORD, LONGEST_PERIOD = 24, 8
+LEAST_WALK = 4
 #: Rows that are rewritten at a time.
 ROWS = 500
 
@@ -110,6 +112,40 @@ def _alphabet(c: str) -> int:
     return 33 if c.isascii() else 200
 
 
+class _Starts:
+    """The start inside a run that gives the least ``bits + log2(j - start)``, for growing ends ``j``.
+
+    The term of an earlier start grows more slowly, so once as cheap as a later
+    one it stays so.  The stack holds the starts that are or will be the
+    cheapest, the cheapest now on top, each with the end at which the one below
+    takes over; every start comes and goes once.
+    """
+
+    def __init__(self) -> None:
+        self.held: list[tuple[float, int, float]] = []
+
+    def add(self, bits: float, start: int, j: int) -> None:
+        """Take up a later start that may be used from the end ``j`` on."""
+        if self.held and self.least(j)[0] <= bits + math.log2(j - start):
+            return
+        over = math.inf
+        while self.held:
+            b, i, below = self.held[-1]
+            ratio = 2 ** min(bits - b, 1000.0)
+            over = (ratio * start - i) / (ratio - 1) if ratio > 1 else math.inf
+            if over < below:
+                break
+            self.held.pop()
+            over = math.inf
+        self.held.append((bits, start, over))
+
+    def least(self, j: int) -> tuple[float, int]:
+        while self.held[-1][2] <= j:
+            self.held.pop()
+        bits, start, _ = self.held[-1]
+        return bits + math.log2(j - start), start
+
+
 def guess_cost(value: str, words: dict[str, int]) -> tuple[float, list[Step]]:
     """Bits of the cheapest chain that spells ``value``, and the chain.
 
@@ -118,6 +154,7 @@ def guess_cost(value: str, words: dict[str, int]) -> tuple[float, list[Step]]:
     cost their rank and two bits more where capitals are mixed in, dates the
     days (or years) of 200 years, repeats of a block their block and count, walks their
     first key and the turns taken, and a brute-force character its alphabet.
+    A repeat or walk may start and end anywhere inside its run.
     Work is linear in the length of the value.
     """
     n, low = len(value), value.lower()
@@ -130,31 +167,46 @@ def guess_cost(value: str, words: dict[str, int]) -> tuple[float, list[Step]]:
         if best[i] + bits < best[j]:
             best[j], back[j] = best[i] + bits, Step(kind, i, j, bits)
 
-    runs = {p: [0] * (n + 1) for p in range(1, LONGEST_PERIOD + 1)}  # how long value[i:] goes on with period p
-    for p, run in runs.items():
-        for i in range(n - p - 1, -1, -1):
-            run[i] = run[i + 1] + 1 if value[i] == value[i + p] else 0
-    walk, turns = [0] * (n + 1), [0] * (n + 1)  # keys that follow i on a walk, and its turns
-    for i in range(n - 2, -1, -1):
-        if low[i + 1] in _NEAR.get(low[i], ()):
-            walk[i] = walk[i + 1] + 1
-            turns[i] = turns[i + 1] + (walk[i + 1] > 0 and ord(low[i + 1]) - ord(low[i]) != ord(low[i + 2]) - ord(low[i + 1]))
     single = [math.log2(_alphabet(c)) for c in value]
-    for i in range(n):
-        offer("brute", i, i + 1, single[i])
-        for j in range(i + 3, min(n, i + LONGEST_WORD) + 1):
-            if rank := words.get(low[i:j]):
-                piece = value[i:j]
-                offer("word", i, j, 1 + math.log2(rank + 1) + (0 if piece in (low[i:j], low[i:j].capitalize(), low[i:j].upper()) else 2))
-        if m := _DATE.match(value, i):
-            offer("date", i, m.end(), 1 + math.log2(200 if len(m[0]) == 4 else 365 * 200))
-        for p, run in runs.items():
-            if run[i] >= max(2, p):
-                end = i + p + run[i]
-                offer("repeat", i, end, 1 + sum(single[i:i + p]) + math.log2(end - i))
-        if walk[i] >= 3:
-            end = i + walk[i] + 1
-            offer("walk", i, end, 1 + math.log2(47) + math.log2(end - i) + 2.5 * turns[i])
+    upto, turns = [0.0], [0, 0, 0]  # bits of the first characters, and turns among them
+    for bits in single:
+        upto.append(upto[-1] + bits)
+    for k in range(2, n):
+        turns.append(turns[-1] + (ord(low[k]) - ord(low[k - 1]) != ord(low[k - 1]) - ord(low[k - 2])))
+    alike = {p: 0 for p in range(1, LONGEST_PERIOD + 1)}  # characters before j that equal the one p before them
+    repeats = {p: _Starts() for p in alike}
+    near, walks = 0, _Starts()  # keys before j that follow on a walk
+    for j in range(n + 1):
+        for p in alike:
+            if j <= p or value[j - 1] != value[j - 1 - p]:
+                if alike[p]:
+                    alike[p], repeats[p] = 0, _Starts()
+                continue
+            alike[p] += 1
+            if alike[p] >= max(2, p):
+                i = j - p - max(2, p)
+                repeats[p].add(best[i] + 1 + upto[i + p] - upto[i], i, j)
+                bits, i = repeats[p].least(j)
+                offer("repeat", i, j, bits - best[i])
+        if j > 1 and low[j - 1] in _NEAR.get(low[j - 2], ()):
+            near += 1
+            if near >= LEAST_WALK - 1:
+                i = j - LEAST_WALK
+                walks.add(best[i] + 1 + math.log2(47) - 2.5 * turns[i + 2], i, j)
+                bits, i = walks.least(j)
+                offer("walk", i, j, bits + 2.5 * turns[j] - best[i])
+        elif near:
+            near, walks = 0, _Starts()
+        if j == n:
+            break
+        offer("brute", j, j + 1, single[j])
+        for k in range(j + 3, min(n, j + LONGEST_WORD) + 1):
+            if rank := words.get(low[j:k]):
+                piece = value[j:k]
+                offer("word", j, k, 1 + math.log2(rank + 1) + (0 if piece in (low[j:k], low[j:k].capitalize(), low[j:k].upper()) else 2))
+        for form in _DATES:
+            if m := form.match(value, j):
+                offer("date", j, m.end(), 1 + math.log2(200 if len(m[0]) == 4 else 365 * 200))
     steps, j = [], n
     while j:
         step = back[j]

@@ -52,6 +52,51 @@ def test_guess_cost_is_the_minimum():
         assert abs(S.guess_cost(v, WORDS)[0] - best[len(v)]) < 1e-9
 
 
+def cheapest(v):
+    """Least bits over all segmentations into all kinds of steps; any repeat or walk may be cut anywhere."""
+    from math import inf, log2
+    low = v.lower()
+
+    def bits(i, j):
+        x, y = v[i:j], low[i:j]
+        one = [log2(S._alphabet(c)) for c in x]
+        if j - i == 1:
+            yield one[0]
+        if y in WORDS:
+            yield 1 + log2(WORDS[y] + 1) + 2 * (x not in (y, y.capitalize(), y.upper()))
+        for form in (r"(?:19|20)\d\d(S)M\1D", r"D(S)M\1(?:19|20)\d\d", r"(?:19|20)\d\d"):
+            form = form.replace("S", "[-/._]?").replace("M", "(?:0[1-9]|1[0-2])").replace("D", r"(?:0[1-9]|[12]\d|3[01])")
+            if re.fullmatch("(?a)" + form, x):
+                yield 1 + log2(200 if len(x) == 4 else 73_000)
+        for p in range(1, 9):
+            if len(x) - p >= max(2, p) and x[p:] == x[:-p]:
+                yield 1 + sum(one[:p]) + log2(len(x))
+        if len(y) >= 4 and all(b in S._NEAR.get(a, ()) for a, b in zip(y, y[1:])):
+            step = [ord(b) - ord(a) for a, b in zip(y, y[1:])]
+            yield 1 + log2(47) + log2(len(y)) + 2.5 * sum(a != b for a, b in zip(step, step[1:]))
+    best = [0.0]
+    for j in range(1, len(v) + 1):
+        best.append(min((best[i] + c for i in range(j) for c in bits(i, j)), default=inf))
+    return best[-1]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["password", "Horse", "suMMer", "1234567890", "qwerty", "poiuy", "asdf", "zaq1", "2023", "20190112", "01122019", "1999-12-31",
+                                 "aaaa", "abab", "xyzxyz", "a", "b", "1", "0", "9", "#", "é", "q", "p"]), max_size=9).map("".join))
+def test_guess_cost_is_the_minimum_of_all_steps(v):
+    bits, steps = S.guess_cost(v, WORDS)
+    assert abs(bits - cheapest(v)) < 1e-6
+    assert abs(bits - sum(s.bits for s in steps)) < 1e-6 and [s.start for s in steps] + [len(v)] == [0, *(s.end for s in steps)][:len(steps) + 1]
+
+
+def test_walks_and_repeats_end_inside_their_runs():
+    bits, steps = S.guess_cost("1234567890password2023", WORDS)
+    assert [s.kind for s in steps] == ["walk", "word", "date"] and bits < S.SECRET_BITS
+    assert S.secret_spans("pwd: 1234567890password2023", WORDS) == []
+    for v in ("1234567890password2023", "aaaahorse" * 3, "sssssummer", "19991231121999", "abababababhorsehorse", "qwertyuiopassword", "aaaaaaaabbbbbbbbaaaaaaaa"):
+        assert abs(S.guess_cost(v, WORDS)[0] - cheapest(v)) < 1e-6
+
+
 def test_spans_beside_the_patterns():
     text = 'client passphrase: "vT9#kQ2!mZ7@xW4" and pwd = password1'
     spans = S.secret_spans(text, WORDS)
