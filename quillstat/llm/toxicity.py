@@ -5,8 +5,8 @@ text the mean of its words, and a linear softmax over the text's vector gives
 the two classes; vectors and softmax are learned together.  A misspelling that
 training never saw shares n-grams, and so vectors, with what it saw.
 
-Training takes a sample of labelled rows of at most ``TRAIN_DOCS`` per class
-(smallest hash of the id first), runs in one task and returns one number per
+Training takes a sample of at most ``TRAIN_DOCS`` labelled ids per class
+(smallest hash of the id first) with one row each, runs in one task and returns one number per
 n-gram bucket: the softmax is linear, so a bucket's vector enters a score only
 through its product with the class weights.  Every text is then scored whole,
 in one pass without a shuffle.
@@ -168,9 +168,11 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[np.ndarray, float]:
-    """The model, from labelled rows whose remainder is not 1."""
-    spark = docs.sparkSession
+def training_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[DataFrame, float]:
+    """``doc_id, text, _y`` of at most ``most`` ids per class with one row each, and the share of label 1.
+
+    Of several rows of one id the text of the smallest hash is taken.
+    """
     marks = (labels.where("doc_id is not null and toxic in (0, 1)").where(remainder(F.col("doc_id")) != 1)
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_y")))
     n = {r["_y"]: r["n"] for r in marks.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -179,8 +181,15 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[
     for y in (0, 1):
         some = marks.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = some if picked is None else picked.unionByName(some)
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # at most 2 * most rows
-                     .select("doc_id", "text", "_y"), "toxicity-sample")
+    return (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+            .groupBy("doc_id", "_y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
+            .select("doc_id", "least.text", "_y")), prior
+
+
+def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[np.ndarray, float]:
+    """The model, from labelled rows whose remainder is not 1."""
+    sample, prior = training_sample(docs, labels, most)
+    sample = written(sample, "toxicity-sample")
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["doc_id", "text"], kind="stable")

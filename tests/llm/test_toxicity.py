@@ -63,6 +63,18 @@ def test_held_out_rows_do_not_train(spark):
     assert all(r["predicted"] == (r["score"] >= 0.7) for r in got.values())
 
 
+def test_sample_has_one_row_per_id(spark):
+    rows = [(100, f"copy {i % 40}", "s") for i in range(200)] + [(100, None, "s")] + [(i, f"text {i}", "s") for i in range(3, 60)]
+    docs = docs_of(spark, rows)
+    labels = spark.createDataFrame([(i, i % 2, 1) for i in (*range(3, 60), 100)] * 2, "doc_id long, toxic int, quality int")
+    for most in (3, 100):
+        got = T.training_sample(docs, labels, most)[0].collect()
+        again = T.training_sample(docs_of(spark, rows[::-1]), labels, most)[0].collect()
+        assert len(got) == len({r["doc_id"] for r in got}) <= 2 * most and sorted(got) == sorted(again)
+        assert all((r["doc_id"], r["text"], "s") in rows and r["_y"] == r["doc_id"] % 2 for r in got)
+    assert 100 in {r["doc_id"] for r in got}
+
+
 def test_awkward_rows(spark):
     rows = awkward()
     docs = docs_of(spark, rows, extra=True)
