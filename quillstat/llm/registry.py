@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, conversations, mixing, packing, repeats, secrets, simhash, topk, toxicity, url_filter, warc
+from . import ann, conversations, mixing, packing, phrases, repeats, secrets, simhash, topk, toxicity, url_filter, warc
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_ann": ann.query,
         "op9_repeats": repeats.query,
         "op10_url_filter": url_filter.query,
+        "op11_phrases": phrases.query,
         "op13_conversation_repair": conversations.query,
     }
 
