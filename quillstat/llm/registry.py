@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, conversations, mixing, packing, phrases, repeats, secrets, simhash, topk, toxicity, url_filter, warc
+from . import ann, conversations, mixing, near_vectors, packing, phrases, repeats, secrets, simhash, topk, toxicity, url_filter, warc
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_repeats": repeats.query,
         "op10_url_filter": url_filter.query,
         "op11_phrases": phrases.query,
+        "op12_near_vectors": near_vectors.query,
         "op13_conversation_repair": conversations.query,
     }
 
@@ -26,4 +27,5 @@ def oracle_sql():
     return {
         "op5_warc": warc.ORACLE,
         "op7_top_k": topk.ORACLE,
+        "op12_near_vectors": near_vectors.ORACLE,
     }
