@@ -1,21 +1,20 @@
 """STR1-STR5: comments arriving over time.
 
 Each stream operator equals its batch operator when the stream is run to the
-end (``trigger(availableNow=True)``) over the same files.
+end (``trigger(availableNow=True)``) over the same files.  ``sink`` makes the
+results durable: windows in append mode leave once, when the watermark has
+passed them, and each micro-batch owns a partition of the result table.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schema import COMMENT_SCHEMA
 from ..sources.comments import COMMENT_PAGE_SCHEMA, comments_from_pages
+from .contagion import contagion_pairs  # noqa: F401  (STR5)
 
 ENRICHED_STREAM_SCHEMA = T.StructType(COMMENT_SCHEMA.fields + [
     T.StructField("sentiment", T.StringType()), T.StructField("emotion", T.StringType())])
@@ -62,45 +61,6 @@ def hourly_sentiment_counts(stream: DataFrame, delay: str, width: str = "1 hour"
             .select("post_id", F.col("w.start").alias("bin_start"), "sentiment", "count"))
 
 
-PAIR_SCHEMA = T.StructType([T.StructField("post_id", T.StringType()), T.StructField("prev", T.StringType()),
-                            T.StructField("next", T.StringType()), T.StructField("pairs", T.LongType())])
-_STATE_SCHEMA = T.StructType([T.StructField("last_us", T.LongType()), T.StructField("last_cid", T.StringType()),
-                              T.StructField("last_s", T.StringType())])
-
-
-def contagion_pairs(stream: DataFrame, max_gap_seconds: int = 1800) -> DataFrame:
-    """STR5: consecutive-comment sentiment pairs per post with state.
-
-    State per post: the last comment seen (time, cid, sentiment).  Each trigger
-    pairs the post's new comments in (time, cid) order, starting from the state
-    row, and emits that trigger's pair counts; the totals are the sum over
-    triggers (equal to the batch ``contagion`` pair counts when comments arrive
-    in time order).  A trigger's group is bounded by ``maxFilesPerTrigger``.
-    """
-    gap = max_gap_seconds * 1_000_000
-
-    def step(key, pdfs: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["_us", "cid"], kind="mergesort")
-        us = batch["_us"].to_numpy(dtype=np.int64)
-        sent = batch["sentiment"].to_numpy(dtype=object)
-        if state.exists:
-            last_us, _, last_s = state.get
-            us = np.concatenate([[last_us], us])
-            sent = np.concatenate([[last_s], sent])
-        ok = (us[1:] - us[:-1]) <= gap
-        pairs = pd.DataFrame({"prev": sent[:-1][ok], "next": sent[1:][ok]})
-        state.update((int(us[-1]), str(batch["cid"].iloc[-1]), sent[-1]))
-        if len(pairs):
-            c = pairs.groupby(["prev", "next"], dropna=False).size().reset_index(name="pairs")
-            c.insert(0, "post_id", key[0])
-            yield c.astype({"pairs": "int64"})
-
-    src = (stream.filter(F.col("created_time").isNotNull())
-           .select("post_id", "cid", F.unix_micros("created_time").alias("_us"), "sentiment"))
-    return src.groupBy("post_id").applyInPandasWithState(
-        step, PAIR_SCHEMA, _STATE_SCHEMA, "append", "NoTimeout")
-
-
 def run_to_end(df: DataFrame, name: str, checkpoint: str, mode: str = "append"):
     """Run a streaming query over everything available, into a memory table."""
     q = (df.writeStream.outputMode(mode).format("memory").queryName(name)
