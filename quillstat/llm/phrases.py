@@ -23,8 +23,10 @@ whole; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +39,9 @@ from .common import documents, written
 #: Least count of a phrase, phrases listed a language, share of a phrase that a longer one must hold to replace it (percent).
 LEAST, LISTED, HELD = 10, 2000, 50
 #: Entries of a container that bursts, of a trie that spills, words of a dictionary, their bytes, and words between two updates.
-BURST, ENTRIES, WORDS, WORD_BYTES, CHUNK = 4096, 1_500_000, 1 << 20, 1 << 26, 500_000
+BURST, ENTRIES, WORDS, WORD_BYTES, CHUNK = 4096, 1_000_000, 1 << 20, 1 << 26, 400_000
+#: Bytes of a text that is split as a whole; longer ones are read word by word.
+TEXT_BYTES = 1 << 20
 #: Bytes of text behind one prefix partition.
 PARTITION_BYTES = 8 << 20
 #: Salts of a join on single words.
@@ -45,15 +49,15 @@ SALTS = 16
 
 _BITS = 21
 _MASK = (1 << _BITS) - 1
-#: Id behind the last word of a piece, and id that marks the total of a first word.  Neither string can be a word.
-_END, _TOTAL = 0, 1
-_RESERVED = (b" ", b"\t")
+#: Ids behind the last word of a piece, of the total of a first word, and between two spaces.  None of their strings can be a word.
+_END, _TOTAL, _GAP = 0, 1, 2
+_RESERVED = (b"\n", b"\t", b"")
 #: A-Z to a-z, piece ends to line feeds, tabs to spaces.
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\x0d\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 
 
 class Trie:
-    """First word -> container of (second, third) words, or a node of second word -> container of third words."""
+    """First word -> container of packed phrases, or a node of second word -> container of packed phrases."""
 
     def __init__(self):
         self.roots: dict[int, dict] = {}
@@ -65,31 +69,32 @@ class Trie:
         """Sorted distinct packed phrases and their counts."""
         first = keys >> (2 * _BITS)
         at = np.flatnonzero(np.diff(first, prepend=-1))
-        rest, n = (keys & ((1 << 2 * _BITS) - 1)).tolist(), counts.tolist()
-        for w, a, z in zip(first[at].tolist(), at.tolist(), [*at[1:].tolist(), len(keys)]):
-            box = self.roots.setdefault(w, {})
+        packed, n = keys.tolist(), counts.tolist()
+        for w, a, z in zip(first[at].tolist(), at.tolist(), [*at[1:].tolist(), len(packed)]):
+            box = self.roots.get(w)
             before = self.sizes.get(w, 0)
-            if w in self.burst:
-                new = 0
-                for k, c in zip(rest[a:z], n[a:z]):
-                    leaf = box.setdefault(k >> _BITS, {})
-                    k &= _MASK
-                    new += k not in leaf
+            if box is None:
+                box = self.roots[w] = dict(zip(packed[a:z], n[a:z]))
+                size = z - a
+            elif w in self.burst:
+                size = before
+                for k, c in zip(packed[a:z], n[a:z]):
+                    leaf = box.setdefault(k >> _BITS & _MASK, {})
+                    size += k not in leaf
                     leaf[k] = leaf.get(k, 0) + c
-                size = before + new
             else:
-                for k, c in zip(rest[a:z], n[a:z]):
+                for k, c in zip(packed[a:z], n[a:z]):
                     box[k] = box.get(k, 0) + c
                 size = len(box)
-                if size > BURST:
-                    self._burst(w)
+            if size > BURST and w not in self.burst:
+                self._burst(w)
             self.sizes[w] = size
             self.entries += size - before
 
     def _burst(self, w: int) -> None:
         node: dict[int, dict] = {}
         for k, c in self.roots[w].items():
-            node.setdefault(k >> _BITS, {})[k & _MASK] = c
+            node.setdefault(k >> _BITS & _MASK, {})[k] = c
         self.roots[w] = node
         self.burst.add(w)
 
@@ -105,20 +110,22 @@ class Trie:
 
     def take(self, words: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Packed phrases and counts of whole subtrees, which leave the trie; each has its total as an entry more."""
-        keys, counts = [], []
+        sizes = np.array([self.sizes.pop(w) for w in words], np.int64)
+        boxes = []
         for w in words:
-            box, top = self.roots.pop(w), w << 2 * _BITS
-            self.entries -= self.sizes.pop(w)
-            total = 0
-            for above, leaf in (((k << _BITS, v) for k, v in box.items()) if w in self.burst else [(0, box)]):
-                n = np.fromiter(leaf.values(), np.int64, len(leaf))
-                keys.append(np.fromiter(leaf.keys(), np.int64, len(leaf)) + (top | above))
-                counts.append(n)
-                total += int(n.sum())
-            self.burst.discard(w)
-            keys.append(np.array([top | _TOTAL << _BITS]))
-            counts.append(np.array([total]))
-        return np.concatenate(keys), np.concatenate(counts)
+            box = self.roots.pop(w)
+            if w in self.burst:
+                self.burst.discard(w)
+                boxes.extend(box.values())
+            else:
+                boxes.append(box)
+        n = int(sizes.sum())
+        self.entries -= n
+        keys = np.fromiter(chain.from_iterable(boxes), np.int64, n)
+        counts = np.fromiter(chain.from_iterable(b.values() for b in boxes), np.int64, n)
+        totals = np.add.reduceat(counts, np.cumsum(sizes) - sizes)
+        tops = np.array(words, np.int64) << 2 * _BITS | _TOTAL << _BITS
+        return np.concatenate([keys, tops]), np.concatenate([counts, totals])
 
 
 class Counter:
@@ -140,22 +147,34 @@ class Counter:
 
     def text(self, lang: str, text: bytes) -> None:
         self.word_bytes += len(text)  # never less than what its new words take
+        if len(text) <= TEXT_BYTES:
+            buffer = self.buffers[lang]
+            before = len(buffer)
+            buffer.extend(map(self.ids.__getitem__, text.translate(_TABLE).replace(b"\n", b" \n ").split(b" ")))
+            buffer.append(_END)
+            self.buffered += len(buffer) - before
+            if self.buffered >= CHUNK:
+                self.update()
+            return
         for piece in text.translate(_TABLE).split(b"\n"):
-            words = piece.split()
-            for i in range(0, len(words), CHUNK):
+            words = (m.group() for m in re.finditer(b"[^ ]+", piece))
+            part = list(islice(words, CHUNK))
+            while part:
+                follow = list(islice(words, CHUNK))
                 buffer, known = self.buffers[lang], self.ids.__getitem__
-                before = len(buffer)
-                buffer.extend(map(known, words[i:i + CHUNK]))
-                buffer.extend(~known(w) for w in words[i + CHUNK:i + CHUNK + 2])  # seen by the words before, counted in the next round
+                buffer.extend(map(known, part))
+                buffer.extend(~known(w) for w in follow[:2])  # seen by the words before, counted in the next round
                 buffer.append(_END)
-                self.buffered += len(buffer) - before
+                self.buffered += len(part) + 3
                 if self.buffered >= CHUNK:
                     self.update()
+                part = follow
 
     def flush(self) -> None:
         """What is buffered goes into the tries."""
         for lang, buffer in self.buffers.items():
-            a = np.array([*buffer, _END, _END], np.int64)
+            a = np.array(buffer, np.int64)
+            a = np.concatenate([a[a != _GAP], [_END, _END]])
             starts, a = a[:-2] > _END, np.where(a < 0, ~a, a)
             third = np.where(a[1:-1] == _END, _END, a[2:])
             packed = (a[:-2] << 2 * _BITS | a[1:-1] << _BITS | third)[starts]
@@ -184,19 +203,19 @@ class Counter:
             return
         from xxhash import xxh64_intdigest
         keys, counts = self.tries[lang].take(words)
-        parts = np.stack([keys >> 2 * _BITS, keys >> _BITS & _MASK, keys & _MASK])
-        used, index = np.unique(parts, return_inverse=True)
         spelled = list(self.ids)
-        spelled = [spelled[i] for i in used.tolist()]
-        hashes = np.array([xxh64_intdigest(w) for w in spelled], np.uint64)
-        rank = np.empty(len(used), np.int64)
-        rank[sorted(range(len(used)), key=spelled.__getitem__)] = np.arange(len(used))
-        index = index.reshape(parts.shape)
-        part = (hashes[index[0]] * np.uint64(0x9E3779B97F4A7C15) ^ hashes[index[1]]) % np.uint64(self.parts)
-        ranks = rank[index]
-        order = np.lexsort((ranks[2], ranks[1], ranks[0], part))
-        part, ranks, counts = part[order].astype(np.int64), ranks[:, order], counts[order]
-        by_rank = [spelled[i] for i in np.argsort(rank).tolist()]
+        used = np.zeros(len(spelled), bool)
+        for shift in (2 * _BITS, _BITS, 0):
+            used[keys >> shift & _MASK] = True
+        order = sorted(np.flatnonzero(used).tolist(), key=spelled.__getitem__)
+        by_rank = [spelled[i] for i in order]
+        rank, hashes = np.zeros(len(spelled), np.int64), np.zeros(len(spelled), np.uint64)
+        rank[order], hashes[order] = np.arange(len(order)), np.fromiter(map(xxh64_intdigest, by_rank), np.uint64, len(order))
+        part = ((hashes[keys >> 2 * _BITS] * np.uint64(0x9E3779B97F4A7C15) ^ hashes[keys >> _BITS & _MASK]) % np.uint64(self.parts)).astype(np.int64)
+        keys = rank[keys >> 2 * _BITS] << 2 * _BITS | rank[keys >> _BITS & _MASK] << _BITS | rank[keys & _MASK]
+        order = np.lexsort((keys, part))
+        part, keys, counts = part[order], keys[order], counts[order]
+        ranks = np.stack([keys >> 2 * _BITS, keys >> _BITS & _MASK, keys & _MASK])
         at = np.flatnonzero(np.diff(part, prepend=-1))
         runs = [_packed(by_rank, ranks[:, a:z], counts[a:z]) for a, z in zip(at.tolist(), [*at[1:].tolist(), len(part)])]
         self.pending.append(pa.RecordBatch.from_arrays(
@@ -213,7 +232,7 @@ def _packed(words: list[bytes], ranks: np.ndarray, counts: np.ndarray) -> bytes:
     used, at = np.unique(ranks, return_inverse=True)
     at = at.reshape(ranks.shape).astype("<u4")
     at[0, 1:] = np.diff(at[0])  # first words rise
-    spelled = b"\n".join(words[i] for i in used.tolist())
+    spelled = b" ".join([words[i] for i in used.tolist()])
     head = np.array([len(counts), len(spelled)], "<u8").tobytes()
     # bytes of one weight together: most are zero
     planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in (*at, counts.astype("<u8"))]
@@ -230,7 +249,7 @@ def _unpacked(run: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         at.append(np.ascontiguousarray(plane).view(kind).reshape(n).astype(np.int64))
         place += n * width
     at[0] = np.cumsum(at[0])
-    return b[place:place + size].split(b"\n"), np.stack(at[:3]), at[3]
+    return b[place:place + size].split(b" "), np.stack(at[:3]), at[3]
 
 
 def _merged(least: int):
@@ -241,13 +260,19 @@ def _merged(least: int):
         phrases, counts = [], []
         for run in runs.column("run").to_pylist():
             words, at, n = _unpacked(run)
-            phrases.append(np.array([ids[w] for w in words], np.int64)[at])
+            phrases.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words))[at])
             counts.append(n)
         phrases, counts = np.concatenate(phrases, axis=1), np.concatenate(counts)
         words = np.array([*ids, None], object)[:-1]
 
         def summed(columns, n):
-            order = np.lexsort(columns[::-1])
+            if len(ids) <= _MASK:  # one number a phrase
+                packed = columns[0]
+                for c in columns[1:]:
+                    packed = packed << _BITS | c
+                order = np.argsort(packed)
+            else:
+                order = np.lexsort(columns[::-1])
             columns, n = columns[:, order], n[order]
             cut = np.flatnonzero(np.concatenate([[True], (columns[:, 1:] != columns[:, :-1]).any(axis=0)]))
             return columns[:, cut], np.add.reduceat(n, cut)
