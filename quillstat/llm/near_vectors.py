@@ -1,6 +1,7 @@
 """Near-duplicate vectors of one label: spherical k-means cells, blocked cosine products, one representative a group.
 
-Equal vectors of a label are one node that counts its copies.  Every label is
+Equal unit vectors of a label are one node that counts its copies; rows find
+their node by two 64-bit hashes.  Every label is
 split into cells by spherical k-means fitted on a bounded sample, and cells of
 more than ``SPLIT`` rows again, so a task holds the centres of one cell only.  A
 node's home is its nearest cell.  Two unit vectors with cosine >= ``least`` are
@@ -25,6 +26,7 @@ empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,20 +55,38 @@ def reach(least: float) -> float:
     return math.sqrt(1 - least * least) + _ROUNDING
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Column ``v`` scaled to unit length, null where it is null, empty or zero."""
+    for b in batches:
+        v = b.column("v")
+        sizes = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        x = v.flatten().to_numpy(zero_copy_only=False)
+        some = sizes > 0
+        starts = (np.cumsum(sizes) - sizes)[some]
+        top = np.maximum.reduceat(np.abs(x), starts) if len(x) else np.zeros(0)
+        one = np.where(top > 0, top, 1.0)
+        x = x / np.repeat(one, sizes[some])  # neither overflows nor vanishes when squared
+        norm = np.sqrt(np.add.reduceat(x * x, starts)) if len(x) else np.zeros(0)
+        x = x / np.repeat(np.where(norm > 0, norm, 1.0), sizes[some]) + 0.0  # no -0.0
+        known = some.copy()
+        known[some] = norm > 0
+        values = x[np.repeat(known, sizes)]
+        offsets = np.concatenate([[0], np.cumsum(np.where(known, sizes, 0))]).astype(np.int32)
+        units = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), mask=pa.array(~known))
+        yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("label"), units], names=["vec_id", "label", "v"])
+
+
 def nodes(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Written rows ``row, vec_id, label, v`` (unit vector or null) and nodes ``node, label, v, w, id``."""
-    v = F.transform("embedding", lambda x: x.cast("double"))
-    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    t = table.select("vec_id", "label", F.when(usable(F.col("embedding")) & F.col("label").isNotNull(), v).alias("v"))
-    t = t.withColumn("v", F.when(top > 0, F.transform("v", lambda x: x / top)))
-    t = written(t.withColumn("row", F.monotonically_increasing_id()), "vectors")
-    dim = t.agg(F.coalesce(F.max(F.size("v")), F.lit(0)).alias("d")).first()["d"]
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    unit = F.transform("v", lambda x: x / norm)
-    t = t.withColumn("v", F.when(F.col("v").isNotNull(), F.concat(unit, F.array_repeat(F.lit(0.0), F.greatest(F.lit(0), F.lit(dim) - F.size("v"))))))
-    n = (t.where("v is not null").groupBy("label", "v").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("w"), F.min("vec_id").alias("id"))
-         .select("node", "label", "v", "w", "id"))
-    return t, written(n, "nodes")
+    """Written rows ``row, vec_id, label, v`` (unit vector or null) with hashes ``h1, h2`` of ``v``, and nodes ``node, label, v, w, id, h1, h2``."""
+    t = table.select("vec_id", "label", F.when(usable(F.col("embedding")) & F.col("label").isNotNull(), F.col("embedding").cast("array<double>")).alias("v"))
+    t = written(t.mapInArrow(_units, t.schema).withColumn("row", F.monotonically_increasing_id()), "vectors")
+    s = t.agg(F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dim"), F.coalesce(F.min(F.size("v")), F.lit(0)).alias("least")).first()
+    if s["least"] != s["dim"]:
+        t = t.withColumn("v", F.when(F.col("v").isNotNull(), F.concat("v", F.array_repeat(F.lit(0.0), F.lit(s["dim"]) - F.size("v")))))
+    # copies beside the hashes of their vector, so that rows find their node without the vector
+    t = t.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(SEED), "v")})
+    n = t.where("v is not null").groupBy("label", "v").agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("w"), F.min("vec_id").alias("id"), F.min("h1").alias("h1"), F.min("h2").alias("h2"))
+    return t, written(n.select("node", "label", "v", "w", "id", "h1", "h2"), "nodes")
 
 
 def centres(x: np.ndarray, k: int) -> np.ndarray:
@@ -228,13 +248,14 @@ def near_duplicates(table: DataFrame, least: float = LEAST) -> DataFrame:
     totals = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     placed = (n.join(totals, "node", "left").join(roots, "node", "left")
-              .select("node", "label", "v", "id", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")))
+              .select("node", "label", "h1", "h2", "id", (F.coalesce("links", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("root", "node").alias("root")))
     placed = written(placed, "placed")
     groups = placed.groupBy("root").agg(F.min("id").alias("component_id"))
-    known = placed.join(groups, "root").select("label", "v", "n_links", "component_id")
+    known = placed.join(groups, "root").select("label", "h1", "h2", "n_links", "component_id")
     # copies of a hot vector are dealt to several keys
     salted = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = t.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int")).join(salted, ["label", "v", "_salt"], "left")
+    rows = (t.select("vec_id", "label", F.when(F.col("v").isNotNull(), F.col("h1")).alias("h1"), "h2", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int").alias("_salt"))
+            .join(salted, ["label", "h1", "h2", "_salt"], "left"))
     id_ = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return rows.select("vec_id", "label", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), id_.alias("component_id"),
                        F.col("vec_id").eqNullSafe(id_).alias("kept"))
