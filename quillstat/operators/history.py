@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..schema import KPI_SNAPSHOT_SCHEMA
 from ..session import cut_lineage
 from .kpis import count_if
+from .quantiles import exact_quantiles
 
 METRICS_PCT = ("advocacy", "safety_score", "avg_reactions_per_comment", "total_comments")
 METRICS_DELTA = ("total_comments", "avg_reactions_per_comment", "positivity_ratio", "median_engagement")
@@ -31,13 +32,13 @@ def kpi_snapshots(df: DataFrame, bucket_hours: int = 6) -> DataFrame:
     n = F.count(F.lit(1)).cast("long")
     pos = count_if(F.col("sentiment") == "positive")
     neg = count_if(F.col("sentiment") == "negative")
-    return d.groupBy("post_id", "ts").agg(
+    out = d.groupBy("post_id", "ts").agg(
         n.alias("total_comments"),
         (pos * 100.0 / F.greatest(F.lit(1), n)).alias("advocacy"),
         F.greatest(F.lit(0.0), 100.0 - neg * 100.0 / F.greatest(F.lit(1), n)).alias("safety_score"),
         F.avg("total_reactions").cast("double").alias("avg_reactions_per_comment"),
-        (pos * 100.0 / F.greatest(F.lit(1), pos + neg)).alias("positivity_ratio"),
-        F.percentile(F.col("engagement_score").cast("double"), F.lit(0.5)).alias("median_engagement"))
+        (pos * 100.0 / F.greatest(F.lit(1), pos + neg)).alias("positivity_ratio"))
+    return out.join(exact_quantiles(d, ["post_id", "ts"], {"median_engagement": ("engagement_score", 0.5)}), ["post_id", "ts"], "left")
 
 
 def append_snapshots(snapshots: DataFrame, path: str) -> None:

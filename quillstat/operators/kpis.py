@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..schema import REACTION_COLS
+from ..session import cut_lineage
 from .perpost import per_post
+from .quantiles import exact_quantiles, quantiles_of_cells
 
 
-def _pct(x, p, approx: bool) -> Column:
-    c = F.col(x) if isinstance(x, str) else x
+def _with_quantiles(df: DataFrame, agg: DataFrame | None, quantiles: dict[str, tuple[str, float]], approx: bool) -> DataFrame:
+    """Per-post quantiles of comment columns, beside the per-post rows ``agg``: exact by selection, or estimates."""
     if approx:
-        return F.percentile_approx(c.cast("double"), p, 10000).cast("double")
-    return F.percentile(c.cast("double"), F.lit(p)).cast("double")
+        q = df.groupBy("post_id").agg(*[F.percentile_approx(F.col(c).cast("double"), p, 10000).cast("double").alias(n) for n, (c, p) in quantiles.items()])
+    else:
+        q = exact_quantiles(df, ["post_id"], quantiles)
+    return q if agg is None else agg.join(q, "post_id", "left")
 
 
 def _distinct(c: Column, approx: bool) -> Column:
@@ -52,8 +56,6 @@ def insights_kpis(df: DataFrame, approx: bool = False) -> DataFrame:
         .otherwise(_distinct(F.col("user_id"), approx)).alias("unique_users"),
         F.sum("total_reactions").cast("long").alias("total_reactions"),
         F.avg("total_reactions").cast("double").alias("avg_reactions_per_comment"),
-        _pct("total_reactions", 0.5, approx).alias("median_reactions"),
-        _pct("engagement_score", 0.5, approx).alias("median_engagement"),
         (F.avg((F.col("emoji_count") > 0).cast("double")) * 100).alias("emoji_pct"),
         _distinct(X.normalize_language("language"), approx).alias("language_diversity"),
         pos.alias("positive"),
@@ -62,9 +64,15 @@ def insights_kpis(df: DataFrame, approx: bool = False) -> DataFrame:
         F.mode(F.hour("created_time"), True).cast("long").alias("best_hour"),
         F.coalesce(F.mode("emotion", True), F.lit("neutral")).alias("top_emotion"),
     )
+    agg = _with_quantiles(df, agg, {"median_reactions": ("total_reactions", 0.5), "median_engagement": ("engagement_score", 0.5)}, approx)
+    return finished_kpis(agg)
+
+
+def finished_kpis(agg: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """The KPI row from its aggregates: shares and ratios (AGG8-AGG13)."""
     tot = F.col("total_comments")
     return agg.select(
-        "post_id", "total_comments", "unique_users", "total_reactions",
+        "post_id", *(extra or []), "total_comments", "unique_users", "total_reactions",
         "avg_reactions_per_comment", "median_reactions", "median_engagement", "emoji_pct",
         "language_diversity", "positive", "negative",
         F.greatest(tot - F.col("positive") - F.col("negative"), F.lit(0)).cast("long").alias("neutral"),
@@ -77,11 +85,12 @@ def insights_kpis(df: DataFrame, approx: bool = False) -> DataFrame:
     )
 
 
+THRESHOLDS = {"high_engagement": ("engagement_score", 0.75), "median_engagement": ("engagement_score", 0.5)}
+
+
 def engagement_thresholds(df: DataFrame, approx: bool = False) -> DataFrame:
     """AGG4/AGG5: per-post p75 and median of engagement."""
-    return df.groupBy("post_id").agg(
-        _pct("engagement_score", 0.75, approx).alias("high_engagement"),
-        _pct("engagement_score", 0.5, approx).alias("median_engagement"))
+    return _with_quantiles(df, None, THRESHOLDS, approx)
 
 
 def with_thresholds(df: DataFrame, approx: bool = False) -> DataFrame:
@@ -94,7 +103,7 @@ def top_comments_kpis(df: DataFrame, approx: bool = False) -> DataFrame:
     questions (AGG26), high_eng (>= p75, FLT8), unanswered (FLT10), reply
     coverage of questions (AGG27), p75 and median thresholds."""
     # One row per post and engagement value: thresholds and every count come from that
-    # histogram, so no comment is joined or kept in a percentile buffer.
+    # histogram, so no comment is joined.
     q = X.is_question("comment_text")
     hist = df.groupBy("post_id", "engagement_score").agg(
         F.count(F.lit(1)).cast("long").alias("n"),
@@ -103,13 +112,13 @@ def top_comments_kpis(df: DataFrame, approx: bool = False) -> DataFrame:
         count_if(q).alias("q"), count_if(q & (F.col("reply_count") > 0)).alias("answered"),
         count_if(F.coalesce(F.col("reply_count"), F.lit(0)) <= 0).alias("open"))
 
-    def pct(p: float) -> Column:
-        return F.percentile(F.col("engagement_score").cast("double"), F.lit(p), F.col("n")).cast("double")
-
-    thr = (engagement_thresholds(df, True) if approx else
-           hist.groupBy("post_id").agg(pct(0.75).alias("high_engagement"), pct(0.5).alias("median_engagement")))
+    if not approx:
+        hist = cut_lineage(hist)
+    thr = (engagement_thresholds(df, True) if approx else quantiles_of_cells(
+        hist.select("post_id", F.lit("engagement_score").alias("which"), F.col("engagement_score").alias("value"), "n").filter("value is not null"),
+        ["post_id"], THRESHOLDS))
     total = lambda c: F.sum(c).cast("long")
-    return hist.join(thr, "post_id").groupBy("post_id").agg(
+    return hist.join(thr, "post_id", "left").groupBy("post_id").agg(
         total("n").alias("total"),
         (F.sum("reacts") / F.sum("reacted")).cast("double").alias("avg_reacts"),
         (total("pos") * 100.0 / F.greatest(F.lit(1), total("pos") + total("neg"))).alias("positivity"),

@@ -64,9 +64,11 @@ def _extra_queries(enriched):
     from pyspark.sql import functions as F
 
     from ..functions.links import object_id
+    from ..operators import cells as CE
     from ..operators import filters as FL
     from ..operators import joins as J
     from ..operators import kpis as K
+    from ..session import cut_lineage
     from ..schema import REACTION_TYPES, ROW_PAYLOAD_COLS, WINDOW_PAYLOAD_COLS
     from ..sources.testdata import comments_v, table
 
@@ -83,6 +85,23 @@ def _extra_queries(enriched):
     def window_kpis(spark, sf_dir):
         return K.insights_kpis(FL.time_window(enriched(spark, sf_dir), rng="3d"))
 
+    def presets(spark, sf_dir):
+        return CE.preset_kpis(enriched(spark, sf_dir))
+
+    def uniques(spark, sf_dir):
+        cells = cut_lineage(CE.distinct_cells(enriched(spark, sf_dir), exact=True))
+        return CE.distinct_over(cells, CE.last_days(cells))
+
+    def sketched(spark, sf_dir):
+        """Estimates of merged sketches against the exact counts: within four standard errors."""
+        d = enriched(spark, sf_dir)
+        cells = cut_lineage(CE.distinct_cells(d, exact=True))
+        windows = CE.last_days(cells)
+        near = CE.distinct_over(CE.distinct_cells(d), windows).select("post_id", "window", F.col("unique_users").alias("estimate"))
+        bound = F.lit(4 * CE.sketch_error()) * F.col("unique_users") + 1
+        return CE.distinct_over(cells, windows).join(near, ["post_id", "window"]).select(
+            "post_id", "window", (F.abs(F.col("estimate") - F.col("unique_users")) <= bound).alias("within_error"))
+
     def filtered(spark, sf_dir):
         d = FL.filter_comments(enriched(spark, sf_dir), q="an", flags=("pos", "high"))
         return d.select("post_id", "cid", "engagement_score")
@@ -148,6 +167,7 @@ def _extra_queries(enriched):
                         X.mean_word_length("comment_text").alias("mean_word_len"))
 
     return {"comment_text_stats": text_stats, "story_highlights": story, "modal_labels": modal, "row_payload": row_payload, "window_payload": window_payload, "window_kpis": window_kpis,
+            "preset_kpis": presets, "unique_windows": uniques, "unique_windows_sketched": sketched,
             "filtered_comments": filtered, "unhandled_comments": unhandled, "reaction_backfill": backfill,
             "link_ids": link_ids, "data_quality": quality}
 
