@@ -4,9 +4,10 @@
 spans (kinds ``assign``, ``access``, ``hex``).  A fourth kind, ``guess``, comes
 from the values that stand behind a credential word and a separator: dynamic
 programming finds the cheapest way to guess a value as a chain of dictionary
-words, dates, repeats, keyboard walks and brute-force characters, and a value
-that stays too dear to guess is reported.  A value inside a base span is not
-reported again.
+words (also with letter substitutions or read backwards), dates, repeats,
+keyboard walks and brute-force characters, and a value that stays too dear to
+guess is reported.  Every such value is priced, whatever its length and whether
+or not a base span holds it.
 
 The dictionary is the word list of a public tokenizer's vocabulary: a word's
 rank is its id, so its size is fixed and no pass over the corpus is needed.
@@ -47,17 +48,23 @@ _QUOTED = r"""{0}([^{0}\\\r\n]*+(?:\\.[^{0}\\\r\n]*+)*+){0}"""
 #: that begins with a credential word and a separator is left to that word.
 CONTEXT = re.compile(rf"""(?ai){_KEY}["']?[\x20\t]*+(?::=|=>|:|=)[\x20\t]*+"""
                      rf"""(?>{_QUOTED.format('"')}|{_QUOTED.format("'")}|(?!{_KEY}["']?[\x20\t]*+[:=])["']?(\S++))""")
-LEAST_GUESSED = 8
 _HINT = re.compile(r"(?ai)pass|pwd|secret|token|key|credential")
 
 #: Guesses, as a power of two, from which a value counts as a secret.
 SECRET_BITS = 40.0
 
 KEYBOARD_ROWS = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm")
-#: The forms of a date: year first, day first, a year alone.
-_DATES = tuple(map(re.compile, (r"(?a)(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])",
-                                r"(?a)(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\1(?:19|20)\d\d", r"(?a)(?:19|20)\d\d")))
-LONGEST_WORD, LONGEST_PERIOD = 24, 8
+#: Keys behind the shifted characters of the first row.
+_SHIFTED = str.maketrans("!@#$%^&*()", "1234567890")
+#: Characters that stand for letters, read in two ways.
+_LEET = tuple(str.maketrans("@4837105$!+9", "abeet" + x + "ossitg") for x in "il")
+_MONTH, _DAY = r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
+_ORDERS = ("{y}([-/._]?){m}\\1{d}", "{d}([-/._]?){m}\\1{y}", "{m}([-/._]?){d}\\1{y}")
+#: The forms of a date (year first, day first, month first, with four and two digits of the year; a year alone) and how many there are.
+_DATES = tuple((re.compile("(?a)" + o.format(y=y, m=_MONTH, d=_DAY)), 365 * years) for y, years in ((r"(?:19|20)\d\d", 200), (r"\d\d", 100)) for o in _ORDERS)
+_DATES += ((re.compile(r"(?a)(?:19|20)\d\d"), 200),)
+#: Longest block that a repeat step repeats; part of that step's definition.
+LONGEST_PERIOD = 8
 LEAST_WALK = 4
 #: Rows that are rewritten at a time.
 ROWS = 500
@@ -69,6 +76,14 @@ class Span(NamedTuple):
     end: int
 
 
+class Words(dict):
+    """Words and their ranks, and the length of the longest."""
+
+    def __init__(self, ranks: dict[str, int]):
+        super().__init__(ranks)
+        self.longest = max(map(len, ranks), default=0)
+
+
 class Step(NamedTuple):
     kind: str
     start: int
@@ -76,16 +91,16 @@ class Step(NamedTuple):
     bits: float
 
 
-def tokenizer_words(path: str) -> dict[str, int]:
+def tokenizer_words(path: str) -> Words:
     """Alphabetic entries (3 letters or more, lower case) of a vocabulary file and their ranks, from 1."""
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
     words: dict[str, int] = {}
     for token, rank in sorted(vocab.items(), key=lambda x: x[1]):
         word = token.lstrip("Ġ").lower()
-        if 3 <= len(word) <= LONGEST_WORD and word.isascii() and word.isalpha():
+        if len(word) >= 3 and word.isascii() and word.isalpha():
             words.setdefault(word, rank + 1)
-    return words
+    return Words(words)
 
 
 def _neighbours() -> dict[str, set[str]]:
@@ -151,15 +166,19 @@ def guess_cost(value: str, words: dict[str, int]) -> tuple[float, list[Step]]:
 
     ``best[j]`` is the cheapest cost of the first ``j`` characters; each step
     ends at ``j`` and pays its own guesses plus one bit for the cut.  Words
-    cost their rank and two bits more where capitals are mixed in, dates the
-    days (or years) of 200 years, repeats of a block their block and count, walks their
-    first key and the turns taken, and a brute-force character its alphabet.
+    cost their rank, two bits more where capitals are mixed in, two where
+    characters stand for letters and one where they are read backwards; dates the
+    days of 200 years (100 with two digits of the year) or the years; repeats of a
+    block their block and count; walks, shifted or not, their first key and the
+    turns taken; and a brute-force character its alphabet.
     A repeat or walk may start and end anywhere inside its run.
     Work is linear in the length of the value.
     """
     n, low = len(value), value.lower()
     if len(low) != n:
         low = value
+    longest = words.longest if isinstance(words, Words) else max(map(len, words), default=0)
+    keys, read = low.translate(_SHIFTED), [t for t in {low, *(low.translate(m) for m in _LEET)} if t != low]
     best: list[float] = [0.0] + [math.inf] * n
     back: list[Step | None] = [None] * (n + 1)
 
@@ -172,7 +191,7 @@ def guess_cost(value: str, words: dict[str, int]) -> tuple[float, list[Step]]:
     for bits in single:
         upto.append(upto[-1] + bits)
     for k in range(2, n):
-        turns.append(turns[-1] + (ord(low[k]) - ord(low[k - 1]) != ord(low[k - 1]) - ord(low[k - 2])))
+        turns.append(turns[-1] + (ord(keys[k]) - ord(keys[k - 1]) != ord(keys[k - 1]) - ord(keys[k - 2])))
     alike = {p: 0 for p in range(1, LONGEST_PERIOD + 1)}  # characters before j that equal the one p before them
     repeats = {p: _Starts() for p in alike}
     near, walks = 0, _Starts()  # keys before j that follow on a walk
@@ -188,7 +207,7 @@ def guess_cost(value: str, words: dict[str, int]) -> tuple[float, list[Step]]:
                 repeats[p].add(best[i] + 1 + upto[i + p] - upto[i], i, j)
                 bits, i = repeats[p].least(j)
                 offer("repeat", i, j, bits - best[i])
-        if j > 1 and low[j - 1] in _NEAR.get(low[j - 2], ()):
+        if j > 1 and keys[j - 1] in _NEAR.get(keys[j - 2], ()):
             near += 1
             if near >= LEAST_WALK - 1:
                 i = j - LEAST_WALK
@@ -200,13 +219,18 @@ def guess_cost(value: str, words: dict[str, int]) -> tuple[float, list[Step]]:
         if j == n:
             break
         offer("brute", j, j + 1, single[j])
-        for k in range(j + 3, min(n, j + LONGEST_WORD) + 1):
-            if rank := words.get(low[j:k]):
-                piece = value[j:k]
-                offer("word", j, k, 1 + math.log2(rank + 1) + (0 if piece in (low[j:k], low[j:k].capitalize(), low[j:k].upper()) else 2))
-        for form in _DATES:
+        for k in range(j + 3, min(n, j + longest) + 1):
+            y = low[j:k]
+            ranks = [(words.get(y), 0), (words.get(y[::-1]), 1)]
+            for t in read:
+                if t[j:k] != y:
+                    ranks += [(words.get(t[j:k]), 2), (words.get(t[j:k][::-1]), 3)]
+            found = [more + math.log2(rank + 1) for rank, more in ranks if rank]
+            if found:
+                offer("word", j, k, 1 + min(found) + (0 if value[j:k] in (y, y.capitalize(), y.upper()) else 2))
+        for form, dates in _DATES:
             if m := form.match(value, j):
-                offer("date", j, m.end(), 1 + math.log2(200 if len(m[0]) == 4 else 365 * 200))
+                offer("date", j, m.end(), 1 + math.log2(dates))
     steps, j = [], n
     while j:
         step = back[j]
@@ -225,16 +249,22 @@ def base_spans(text: str) -> list[Span]:
     return sorted(out, key=lambda s: (s.start, KINDS.index(s.kind)))
 
 
+def priced_values(text: str, words: dict[str, int]) -> list[tuple[int, int, float]]:
+    """(start, end, bits) of the values in a credential context."""
+    if not (":" in text or "=" in text) or not _HINT.search(text):
+        return []
+    spans = [m.span(m.lastindex) for m in CONTEXT.finditer(text)]
+    return [(a, b, guess_cost(text[a:b], words)[0]) for a, b in spans if a < b]
+
+
+def with_guessed(base: list[Span], priced: list[tuple[int, int, float]], bits: float = SECRET_BITS) -> list[Span]:
+    """Base spans and the priced values that are too dear to guess."""
+    return sorted(base + [Span(a, "guess", b) for a, b, cost in priced if cost >= bits], key=lambda s: (s.start, KINDS.index(s.kind)))
+
+
 def secret_spans(text: str, words: dict[str, int], bits: float = SECRET_BITS) -> list[Span]:
     """All spans of ``text``: the base spans and the values that are too dear to guess."""
-    found = base_spans(text)
-    if (":" in text or "=" in text) and _HINT.search(text):
-        held = list(found)
-        for m in CONTEXT.finditer(text):
-            a, b = m.span(m.lastindex)
-            if b - a >= LEAST_GUESSED and not any(s.start <= a and b <= s.end for s in held) and guess_cost(text[a:b], words)[0] >= bits:
-                found.append(Span(a, "guess", b))
-    return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind)))
+    return with_guessed(base_spans(text), priced_values(text, words), bits)
 
 
 def listed(spans: list[Span]) -> str:
@@ -259,7 +289,10 @@ def _vocabulary(path: str | None) -> str:
 
 
 def scan_secrets(docs: DataFrame, vocabulary: str | None = None, bits: float = SECRET_BITS) -> DataFrame:
-    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of every row."""
+    """``doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_priced, priced`` of every row.
+
+    ``priced`` lists start:end:bits of every value that was put to the guess cost.
+    """
     path = _vocabulary(vocabulary)
     src = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
@@ -267,19 +300,21 @@ def scan_secrets(docs: DataFrame, vocabulary: str | None = None, bits: float = S
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer_words(path)
         for b in batches:
-            counts, digests, spans = {k: [] for k in KINDS[:3]}, [], []
+            counts, digests, spans, priced = {k: [] for k in KINDS[:3]}, [], [], []
             for text in b.column("text"):
-                all_ = secret_spans(text.as_py(), words, bits)
-                base = [s for s in all_ if s.kind != "guess"]
+                base, values = base_spans(text.as_py()), priced_values(text.as_py(), words)
+                priced.append(values)
                 for k, n in counts.items():
                     n.append(sum(s.kind == k for s in base))
                 digests.append(hashlib.sha256(listed(base).encode()).hexdigest())
-                spans.append(listed(all_))
+                spans.append(listed(with_guessed(base, values, bits)))
+            costs = [",".join(f"{a}:{z}:{c:.1f}" for a, z, c in p) for p in priced]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *(pa.array(n, pa.int64()) for n in counts.values()), pa.array(digests, pa.string()), pa.array(spans, pa.string())],
-                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
+                [b.column("doc_id"), *(pa.array(n, pa.int64()) for n in counts.values()), pa.array(digests, pa.string()), pa.array(spans, pa.string()),
+                 pa.array([len(p) for p in priced], pa.int64()), pa.array(costs, pa.string())],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_priced", "priced"])
 
-    return src.mapInArrow(scan, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return src.mapInArrow(scan, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_priced long, priced string")
 
 
 def redact_secrets(docs: DataFrame, vocabulary: str | None = None, bits: float = SECRET_BITS) -> DataFrame:

@@ -45,7 +45,7 @@ def test_guess_cost_is_the_minimum():
                 if v[i:j] in WORDS:
                     yield i, j, 1 + __import__("math").log2(WORDS[v[i:j]] + 1)
             yield i, i + 1, __import__("math").log2(S._alphabet(v[i]))
-    for v in ("xhorsey", "summerhorse", "hor5e", "qz7"):
+    for v in ("xhorsey", "summerhorse", "horxe", "qz7"):
         best = {0: 0.0}
         for j in range(1, len(v) + 1):
             best[j] = min(best[i] + c for i, k, c in steps(v) if k == j)
@@ -62,15 +62,20 @@ def cheapest(v):
         one = [log2(S._alphabet(c)) for c in x]
         if j - i == 1:
             yield one[0]
-        if y in WORDS:
-            yield 1 + log2(WORDS[y] + 1) + 2 * (x not in (y, y.capitalize(), y.upper()))
-        for form in (r"(?:19|20)\d\d(S)M\1D", r"D(S)M\1(?:19|20)\d\d", r"(?:19|20)\d\d"):
-            form = form.replace("S", "[-/._]?").replace("M", "(?:0[1-9]|1[0-2])").replace("D", r"(?:0[1-9]|[12]\d|3[01])")
+        for one_is in "il":
+            plain = y.translate(str.maketrans({"@": "a", "4": "a", "8": "b", "3": "e", "7": "t", "1": one_is, "0": "o", "5": "s", "$": "s", "!": "i", "+": "t", "9": "g"}))
+            for spelled, more in ((y, 0), (y[::-1], 1), (plain, 2), (plain[::-1], 3)):
+                if spelled in WORDS:
+                    yield 1 + log2(WORDS[spelled] + 1) + more + 2 * (x not in (y, y.capitalize(), y.upper()))
+        for form, dates in ((r"Y(S)M\1D", 73_000), (r"D(S)M\1Y", 73_000), (r"M(S)D\1Y", 73_000), ("Y", 200),
+                            (r"y(S)M\1D", 36_500), (r"D(S)M\1y", 36_500), (r"M(S)D\1y", 36_500)):
+            form = form.replace("S", "[-/._]?").replace("M", "(?:0[1-9]|1[0-2])").replace("D", r"(?:0[1-9]|[12]#|3[01])").replace("Y", "(?:19|20)##").replace("y", "##").replace("#", r"\d")
             if re.fullmatch("(?a)" + form, x):
-                yield 1 + log2(200 if len(x) == 4 else 73_000)
+                yield 1 + log2(dates)
         for p in range(1, 9):
             if len(x) - p >= max(2, p) and x[p:] == x[:-p]:
                 yield 1 + sum(one[:p]) + log2(len(x))
+        y = y.translate(str.maketrans("!@#$%^&*()", "1234567890"))
         if len(y) >= 4 and all(b in S._NEAR.get(a, ()) for a, b in zip(y, y[1:])):
             step = [ord(b) - ord(a) for a, b in zip(y, y[1:])]
             yield 1 + log2(47) + log2(len(y)) + 2.5 * sum(a != b for a, b in zip(step, step[1:]))
@@ -82,7 +87,7 @@ def cheapest(v):
 
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.sampled_from(["password", "Horse", "suMMer", "1234567890", "qwerty", "poiuy", "asdf", "zaq1", "2023", "20190112", "01122019", "1999-12-31",
-                                 "aaaa", "abab", "xyzxyz", "a", "b", "1", "0", "9", "#", "é", "q", "p"]), max_size=9).map("".join))
+                                 "aaaa", "abab", "xyzxyz", "p@ssw0rd", "drowssap", "5umm3r", "12/31/1999", "311299", "!@#$%^", "H0r$e", "a", "b", "1", "0", "9", "#", "é", "q", "p"]), max_size=9).map("".join))
 def test_guess_cost_is_the_minimum_of_all_steps(v):
     bits, steps = S.guess_cost(v, WORDS)
     assert abs(bits - cheapest(v)) < 1e-6
@@ -134,6 +139,20 @@ def test_redact_joins_overlaps():
     assert S.redact("abcdefgh", [S.Span(1, "assign", 5), S.Span(3, "hex", 6)], "*") == "a*gh"
 
 
+def test_every_context_is_priced():
+    text = "token = x9Kq2Lm7Zt password=summer1 pwd: a key: b Secret: P@ssw0rd2023 secret: ключкл7"
+    priced = S.priced_values(text, WORDS)
+    assert [text[a:b] for a, b, _ in priced] == ["x9Kq2Lm7Zt", "summer1", "a", "P@ssw0rd2023", "ключкл7"]
+    assert all(abs(c - cheapest(text[a:b])) < 1e-6 for a, b, c in priced)
+    assert [text[s.start:s.end] for s in S.secret_spans(text, WORDS) if s.kind == "guess"] == ["x9Kq2Lm7Zt", "ключкл7"]
+    assert S.secret_spans("password: drowssap 12/31/1999 !@#$%^&*()", WORDS) == [S.Span(0, "assign", 18)]
+
+
+def test_longest_words_of_the_dictionary():
+    words = S.Words({"x" * 40 + "yz": 5})
+    assert S.guess_cost("x" * 40 + "yz", words)[0] < 4
+
+
 def test_long_value_is_whole():
     spans = S.secret_spans("pwd := " + "aB3$" * 20_000 + "z", WORDS)
     assert not spans or spans[0].end == 7 + 80_001
@@ -148,7 +167,9 @@ def test_scan_rows(spark):
     for r in df:
         if r["doc_id"] == 20:
             want = ",".join(f"{k}:{a}:{b}" for k, a, b in literal(secret))
-            assert (r["n_assign"], r["n_access"], r["n_hex"]) == (1, 1, 1) and r["spans"] == want
+            assert (r["n_assign"], r["n_access"], r["n_hex"], r["n_priced"]) == (1, 1, 1, 1)
+            at = secret.index('"') + 1  # the value that the assign span ends with is dear to guess as well
+            assert r["spans"] == f"{want},guess:{at}:{at + 32}" and r["priced"].startswith(f"{at}:{at + 32}:")
             assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
         else:
             assert r["spans"] == "" and r["base_sha256"] == hashlib.sha256(b"").hexdigest()
