@@ -332,6 +332,46 @@ def _link_expr() -> str:
     return "coalesce(" + ", ".join(parts) + ")"
 
 
+_LANDED = """
+landed AS (
+  SELECT page_id AS n, url AS message, 'post_' || CAST(page_id // 10 AS VARCHAR) AS post_id,
+    CASE WHEN page_id % 41 = 7 AND page_id % 10 > 0 THEN page_id - 1 WHEN page_id % 10 < 9 THEN page_id + 1 END AS nx,
+    CASE WHEN page_id % 53 = 3 THEN 'unreadable' WHEN page_id % 59 = 4 THEN 'empty' WHEN page_id % 61 = 6 THEN 'no data' END AS reason,
+    page_id % 43 = 2 AS twice
+  FROM pages WHERE page_id % 37 <> 5),
+good AS (SELECT * FROM landed WHERE reason IS NULL)
+"""
+
+SQL["page_comments"] = "WITH " + _LANDED + """
+SELECT post_id, 'c' || CAST(n AS VARCHAR) AS comment_id, coalesce(message, '') AS comment_text FROM good
+"""
+
+SQL["page_quarantine"] = "WITH " + _LANDED + """
+SELECT post_id, lpad(CAST(n AS VARCHAR), 12, '0') || '-1' AS place, reason FROM landed WHERE reason IS NOT NULL
+UNION ALL
+SELECT post_id, lpad(CAST(n AS VARCHAR), 12, '0') || '-2', coalesce(reason, 'repeated') FROM landed WHERE twice
+"""
+
+# every chain has ten places at most, so walking it page by page ends
+SQL["page_chains"] = "WITH RECURSIVE " + _LANDED + """,
+walk AS (
+  SELECT n AS start, n AS here, 1 AS step FROM good
+  UNION ALL
+  SELECT w.start, g2.n, w.step + 1 FROM walk w JOIN good g ON g.n = w.here JOIN good g2 ON g2.n = g.nx WHERE w.step < 25),
+ends AS (
+  SELECT start, max(step) AS steps, min('u' || CAST(here AS VARCHAR)) AS least FROM walk GROUP BY start),
+stop AS (
+  SELECT e.start, e.steps, e.least, g.nx AS missing FROM ends e JOIN walk w ON w.start = e.start AND w.step = e.steps JOIN good g ON g.n = w.here)
+SELECT g.post_id, 'u' || CAST(s.start AS VARCHAR) AS head, CAST(s.steps AS BIGINT) AS pages, CAST(s.steps AS BIGINT) AS comments,
+  CASE WHEN s.missing IS NULL THEN 'complete' ELSE 'broken' END AS status, 'u' || CAST(s.missing AS VARCHAR) AS missing
+FROM stop s JOIN good g ON g.n = s.start
+WHERE s.steps < 25 AND NOT EXISTS (SELECT 1 FROM good p WHERE p.nx = s.start AND p.post_id = g.post_id)
+UNION ALL
+SELECT g.post_id, s.least, count(*), count(*), 'cyclic', NULL FROM stop s JOIN good g ON g.n = s.start WHERE s.steps = 25 GROUP BY g.post_id, s.least
+"""
+
+SQL["snapshot_store"] = SQL["kpi_snapshots"]
+
 # The test urls carry no id; nine in ten are given one of the shapes.
 SQL["link_ids"] = f"""
 WITH l AS (SELECT page_id, '10' || CAST(page_id AS VARCHAR) AS n, url AS old FROM pages),

@@ -56,7 +56,19 @@ def _history_queries(enriched):
         now = H.snapshot(K.insights_kpis(enriched(spark, sf_dir)), "2030-01-01 00:00:00")
         return _fmt(H.benchmark_current(now, _snaps(spark, sf_dir)))
 
-    return {"benchmark_current": current, "kpi_snapshots": snaps, "benchmark_percentiles": pct, "kpi_deltas": deltas,
+    def stored(spark, sf_dir):
+        """Two upserts into a stored history, the second with corrected rows, read back."""
+        import uuid
+
+        from ..operators.snapshot_store import SnapshotStore
+        from ..session import cut_lineage, ensure_checkpoint_dir
+        right = cut_lineage(_snaps(spark, sf_dir))
+        store = SnapshotStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}", buckets=16)
+        store.upsert(right.filter(F.crc32("post_id") % 3 > 0).withColumn("total_comments", F.lit(-1).cast("long")))
+        store.upsert(right)
+        return _fmt(store.read())
+
+    return {"snapshot_store": stored, "benchmark_current": current, "kpi_snapshots": snaps, "benchmark_percentiles": pct, "kpi_deltas": deltas,
             "latest_snapshot": latest}
 
 
@@ -143,6 +155,32 @@ def _extra_queries(enriched):
         return K.data_quality(d, as_of=F.lit("2024-02-01 00:00:00").cast("timestamp")) \
             .withColumn("newest_comment", F.date_format("newest_comment", "yyyy-MM-dd HH:mm:ss"))
 
+    def _landed(spark, sf_dir):
+        """The pages table as landed API pages: ten in a chain, some lost, damaged, empty, landed twice or pointing back."""
+        n = F.col("page_id")
+        chain, place = F.floor(n / 10), n % 10
+        url = lambda c: F.concat(F.lit("u"), c.cast("string"))
+        following = F.when((n % 41 == 7) & (place > 0), url(n - 1)).when(place < 9, url(n + 1))
+        page = F.to_json(F.struct(url(n).alias("url"), F.array(F.struct(F.concat(F.lit("c"), n.cast("string")).alias("id"), F.col("url").alias("message"))).alias("data"),
+                                  F.struct(following.alias("next")).alias("paging")))
+        value = F.when(n % 53 == 3, F.substring(page, 1, 20)).when(n % 59 == 4, F.lit(" ")).when(n % 61 == 6, F.lit('{"error": "limit"}')).otherwise(page)
+        t = table(spark, sf_dir, "pages").filter(n % 37 != 5)
+        twice = F.explode(F.sequence(F.lit(1), F.when(n % 43 == 2, 2).otherwise(1))).alias("copy")
+        return t.select(F.concat(F.lit("post_"), chain.cast("string")).alias("post_id"), value.alias("value"), n.alias("page_id"), twice).select(
+            "post_id", F.concat_ws("-", F.lpad(F.col("page_id").cast("string"), 12, "0"), "copy").alias("place"), "value")
+
+    def chains(spark, sf_dir):
+        from ..sources.page_chains import ingest
+        return ingest(_landed(spark, sf_dir))[2]
+
+    def quarantine(spark, sf_dir):
+        from ..sources.page_chains import ingest
+        return ingest(_landed(spark, sf_dir))[1].select("post_id", "place", "reason")
+
+    def ingested(spark, sf_dir):
+        from ..sources.page_chains import ingest
+        return ingest(_landed(spark, sf_dir))[0].select("post_id", "comment_id", "comment_text")
+
     def story(spark, sf_dir):
         from ..operators import text as TX
         from .composites import story_highlights
@@ -169,7 +207,7 @@ def _extra_queries(enriched):
     return {"comment_text_stats": text_stats, "story_highlights": story, "modal_labels": modal, "row_payload": row_payload, "window_payload": window_payload, "window_kpis": window_kpis,
             "preset_kpis": presets, "unique_windows": uniques, "unique_windows_sketched": sketched,
             "filtered_comments": filtered, "unhandled_comments": unhandled, "reaction_backfill": backfill,
-            "link_ids": link_ids, "data_quality": quality}
+            "page_chains": chains, "page_quarantine": quarantine, "page_comments": ingested, "link_ids": link_ids, "data_quality": quality}
 
 
 def queries(enriched):
