@@ -1,10 +1,13 @@
 """Time-series operators (WIN1-WIN12, AGG34).
 
 Bin width is chosen per post (WIN1).  Counting is a plain aggregate on
-(post, bin); the zero-filled grid is a per-post ``sequence`` spine, whose size
-is the post's time span / bin width, not its row count.  Windows only run over
-per-bin rows (bounded by the span), never over a post's raw comments, except
-the contagion lag, which is split into time buckets (see ``contagion``).
+(post, bin), and only bins that hold comments are ever kept: a gap is the number
+of empty bins behind one.  The fit takes empty bins as closed-form sums, running
+counts change at counted bins only, and both work in two levels (inside blocks
+of bins, then over blocks), so neither a long span nor a busy post meets in one
+group; a stray time stamp of year 9999 adds one row.  Only the zero-filled
+timeline spells its gaps out, piece by piece.  The contagion lag is split into
+time buckets (see ``contagion``).
 Rows without a timestamp are left out of time operators (ruling R7).
 """
 
@@ -19,6 +22,8 @@ from .kpis import count_if
 from .rankings import top_k
 
 HOUR_US = 3_600_000_000
+#: Bins of a block, and of the pieces in which a gap is spelled out.
+BLOCK_BINS = 4096
 LABELS3 = ("positive", "neutral", "negative")
 
 
@@ -38,10 +43,36 @@ def post_bins(df: DataFrame) -> DataFrame:
 
 
 def _binned(df: DataFrame, bins: DataFrame) -> DataFrame:
-    d = per_post(_timed(df), bins.select("post_id", "width_s", "b0"), "inner")
+    d = per_post(_timed(df), bins.select("post_id", "width_s", "b0", "b1"), "inner")
     return d.withColumn("bin", F.floor(F.col("_us") / (F.col("width_s") * 1_000_000)).cast("long"))
 
 
+def bin_counts(df: DataFrame) -> DataFrame:
+    """``post_id, bin, width_s, b0, b1, blk, count``: the bins that hold comments."""
+    return (_binned(df, post_bins(df)).groupBy("post_id", "bin", "width_s", "b0", "b1").agg(F.count(F.lit(1)).cast("long").alias("count"))
+            .withColumn("blk", F.floor((F.col("bin") - F.col("b0")) / BLOCK_BINS).cast("long")))
+
+
+def _with_gaps(counts: DataFrame) -> DataFrame:
+    """``gap``: empty bins between each counted bin and the next one (or the end)."""
+    inner = Window.partitionBy("post_id", "blk").orderBy("bin")
+    outer = Window.partitionBy("post_id").orderBy("blk")
+    blocks = counts.groupBy("post_id", "blk").agg(F.min("bin").alias("_first"))
+    blocks = blocks.select("post_id", "blk", F.lead("_first").over(outer).alias("_after"))
+    t = counts.withColumn("_next", F.lead("bin").over(inner)).join(blocks, ["post_id", "blk"])
+    return t.withColumn("gap", F.coalesce("_next", "_after", F.col("b1") + 1) - F.col("bin") - 1).drop("_next", "_after")
+
+
+def _with_running(counts: DataFrame) -> DataFrame:
+    """``cum``: comments up to each counted bin."""
+    inner = Window.partitionBy("post_id", "blk").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    outer = Window.partitionBy("post_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = counts.groupBy("post_id", "blk").agg(F.sum("count").alias("_n"))
+    blocks = blocks.select("post_id", "blk", F.coalesce(F.sum("_n").over(outer), F.lit(0)).alias("_before"))
+    return counts.withColumn("_own", F.sum("count").over(inner)).join(blocks, ["post_id", "blk"]).withColumn(
+        "cum", F.col("_own") + F.col("_before")).drop("_own", "_before")
+
+
 def _label(bin_col: Column, width: Column, short: bool = False) -> Column:
     ts = F.timestamp_micros(bin_col * width * 1_000_000)
     full = F.date_format(ts, "yyyy-MM-dd HH:mm")
@@ -52,12 +83,14 @@ def _label(bin_col: Column, width: Column, short: bool = False) -> Column:
 
 def timeline(df: DataFrame) -> DataFrame:
     """WIN2: zero-filled counts per bin.  Rows: post_id, idx, t, count, width_s."""
-    bins = post_bins(df)
-    counts = _binned(df, bins).groupBy("post_id", "bin").agg(F.count(F.lit(1)).cast("long").alias("count"))
-    spine = bins.select("post_id", "width_s", "b0", F.explode(F.sequence("b0", "b1")).alias("bin"))
-    out = spine.join(counts, ["post_id", "bin"], "left").fillna(0, ["count"])
-    return out.select("post_id", (F.col("bin") - F.col("b0")).alias("idx"),
-                      _label(F.col("bin"), F.col("width_s")).alias("t"), "count", "width_s")
+    runs = _with_gaps(bin_counts(df))
+    # a gap is spelled out in pieces, so no array is longer than a piece
+    at = F.col("_piece") * BLOCK_BINS
+    every = runs.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("gap") / BLOCK_BINS).cast("long")))).withColumn(
+        "_off", F.explode(F.sequence(at, F.least(F.col("gap"), at + BLOCK_BINS - 1))))
+    bin_ = F.col("bin") + F.col("_off")
+    return every.select("post_id", (bin_ - F.col("b0")).alias("idx"), _label(bin_, F.col("width_s")).alias("t"),
+                        F.when(F.col("_off") == 0, F.col("count")).otherwise(0).cast("long").alias("count"), "width_s")
 
 
 def daily_timeline(df: DataFrame) -> DataFrame:
@@ -125,14 +158,21 @@ def spikes(df: DataFrame, mode: str = "trailing", k: int = 8, z_min: float = 2.0
 def decay_fit(df: DataFrame) -> DataFrame:
     """WIN6: OLS of ln(max(count, 1e-6)) on bin offset from the first peak (needs
     >= 4 bins).  tau = -1/slope when slope < 0.  One tail point -> slope null (R6)."""
-    tl = timeline(df)
-    stats = tl.groupBy("post_id").agg(
-        F.count(F.lit(1)).cast("long").alias("n_bins"),
-        F.min_by("idx", F.struct((-F.col("count")).alias("c"), F.col("idx").alias("i"))).alias("peak_index"))
-    t = tl.join(stats, "post_id").filter((F.col("n_bins") >= 4) & (F.col("idx") >= F.col("peak_index")))
+    c = bin_counts(df).withColumn("idx", F.col("bin") - F.col("b0"))
+    stats = c.groupBy("post_id").agg(
+        (F.max("b1") - F.max("b0") + 1).cast("long").alias("n_bins"),
+        F.min(F.struct((-F.col("count")).alias("c"), F.col("idx").alias("i"))).alias("_peak")).select("post_id", "n_bins", F.col("_peak.i").alias("peak_index"))
+    # offsets 0..n-1 from the peak are evenly spaced, so their sums are known; an empty bin's y is a constant,
+    # and only what counted bins differ from it is summed
+    n = (F.col("n_bins") - F.col("peak_index")).cast("double")
+    mean_x, sxx = (n - 1) / 2, n * (n * n - 1) / 12
+    empty = F.log(F.lit(1e-6))
+    over = F.log(F.greatest(F.col("count").cast("double"), F.lit(1e-6))) - empty
+    t = c.join(stats, "post_id").filter((F.col("n_bins") >= 4) & (F.col("idx") >= F.col("peak_index")))
     x = (F.col("idx") - F.col("peak_index")).cast("double")
-    y = F.log(F.greatest(F.col("count").cast("double"), F.lit(1e-6)))
-    fit = t.groupBy("post_id").agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"))
+    sums = t.groupBy("post_id", "n_bins", "peak_index").agg(F.sum((x - mean_x) * over).alias("_sxy"), F.sum(over).alias("_sy"))
+    slope = F.when(n > 1, F.col("_sxy") / F.when(sxx > 0, sxx))
+    fit = sums.select("post_id", slope.alias("slope"), (empty + F.col("_sy") / n - slope * mean_x).alias("intercept"))
     out = stats.join(fit, "post_id", "left")
     return out.select("post_id", "n_bins", "peak_index", "slope", "intercept",
                       # tau is reported at 2 decimals, as the reference does; it is
@@ -150,11 +190,9 @@ def decay_curve(df: DataFrame) -> DataFrame:
 
 def half_life(df: DataFrame) -> DataFrame:
     """WIN7/WIN8: first bin where the running count reaches half of all, and 10."""
-    tl = timeline(df)
-    w = Window.partitionBy("post_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    c = tl.withColumn("cum", F.sum("count").over(w))
-    tot = tl.groupBy("post_id").agg(F.sum("count").alias("total"))
-    c = c.join(tot, "post_id")
+    c = bin_counts(df)
+    tot = c.groupBy("post_id").agg(F.sum("count").alias("total"))
+    c = _with_running(c).join(tot, "post_id").withColumn("idx", F.col("bin") - F.col("b0"))
     hrs = F.when(F.col("width_s") == 900, F.lit(0.25)).otherwise(F.lit(1.0))
     return c.groupBy("post_id").agg(
         (F.min(F.when((F.col("total") > 0) & (F.col("cum") >= 0.5 * F.col("total")), F.col("idx")))
