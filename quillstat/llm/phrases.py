@@ -43,9 +43,11 @@ BURST, ENTRIES, WORDS, WORD_BYTES, CHUNK = 4096, 1_000_000, 1 << 20, 1 << 26, 40
 #: Bytes of a text that is split as a whole; longer ones are read word by word.
 TEXT_BYTES = 1 << 20
 #: Bytes of text behind one prefix partition.
-PARTITION_BYTES = 8 << 20
+PARTITION_BYTES = 12 << 20
 #: Salts of a join on single words.
 SALTS = 16
+#: Entries of runs that a merge holds before it sums them up.
+HELD_ENTRIES = 500_000
 
 _BITS = 21
 _MASK = (1 << _BITS) - 1
@@ -252,44 +254,59 @@ def _unpacked(run: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     return b[place:place + size].split(b" "), np.stack(at[:3]), at[3]
 
 
+class Merge:
+    """Sums over the runs of one prefix partition: phrases as (first, second) and third word ids, and their counts."""
+
+    def __init__(self):
+        self.ids: defaultdict = defaultdict()
+        self.ids.default_factory = self.ids.__len__
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, run: bytes) -> None:
+        words, at, n = _unpacked(run)
+        ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        self.parts.append((ids[at[0]] << 32 | ids[at[1]], ids[at[2]].astype(np.int32), n))
+        self.held += len(n)
+        if self.held > HELD_ENTRIES + 2 * len(self.parts[0][2]):  # sums are redone at every doubling only
+            self.sum()
+
+    def sum(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(self.parts) > 1:
+            pair, third, n = (np.concatenate(x) for x in zip(*self.parts))
+            self.parts.clear()
+            order = np.lexsort((third, pair))
+            pair, third, n = pair[order], third[order], n[order]
+            cut = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (third[1:] != third[:-1])]))
+            self.parts.append((pair[cut], third[cut], np.add.reduceat(n, cut)))
+        self.held = len(self.parts[0][2])
+        return self.parts[0]
+
+
 def _merged(least: int):
     def merge(key, runs):
         """All runs of a prefix partition -> its phrases that reach the least count, and the words it holds totals of."""
-        ids: defaultdict = defaultdict()
-        ids.default_factory = ids.__len__
-        phrases, counts = [], []
-        for run in runs.column("run").to_pylist():
-            words, at, n = _unpacked(run)
-            phrases.append(np.fromiter(map(ids.__getitem__, words), np.int64, len(words))[at])
-            counts.append(n)
-        phrases, counts = np.concatenate(phrases, axis=1), np.concatenate(counts)
-        words = np.array([*ids, None], object)[:-1]
-
-        def summed(columns, n):
-            if len(ids) <= _MASK:  # one number a phrase
-                packed = columns[0]
-                for c in columns[1:]:
-                    packed = packed << _BITS | c
-                order = np.argsort(packed)
-            else:
-                order = np.lexsort(columns[::-1])
-            columns, n = columns[:, order], n[order]
-            cut = np.flatnonzero(np.concatenate([[True], (columns[:, 1:] != columns[:, :-1]).any(axis=0)]))
-            return columns[:, cut], np.add.reduceat(n, cut)
-
-        end, total = ids[_RESERVED[_END]], ids[_RESERVED[_TOTAL]]
-        triples, n3 = summed(phrases, counts)
-        pairs, n2 = summed(triples[:2], n3)
-        kinds = []
-        single = pairs[1] == total
-        kinds.append((pairs[:1, single & (n2 >= least)], n2[single & (n2 >= least)]))
-        keep = ~single & (pairs[1] != end) & (n2 >= least)
-        kinds.append((pairs[:, keep], n2[keep]))
-        keep = (triples[1] != total) & (triples[2] != end) & (n3 >= least)
-        kinds.append((triples[:, keep], n3[keep]))
-        out = {f"w{i + 1}": np.concatenate([words[c[i]] if i < len(c) else np.full(len(n), None, object) for c, n in kinds] + [[None]]) for i in range(3)}
-        f = np.concatenate([*(n for _, n in kinds), [n2[single].sum()]])
-        return pa.table({"lang": pa.array([key[0].as_py()] * len(f), pa.string()), **{k: pa.array(v.tolist(), pa.binary()) for k, v in out.items()}, "f": pa.array(f, pa.int64())})
+        m = Merge()
+        for run in runs.column("run"):
+            m.add(run.as_py())
+        pair, third, n = m.sum()
+        end, total = m.ids[_RESERVED[_END]], m.ids[_RESERVED[_TOTAL]]
+        words = np.array([*m.ids, None], object)[:-1]
+        order = np.argsort(pair, kind="stable")  # sorted already unless there was one run
+        pair, third, n = pair[order], third[order], n[order]
+        cut = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+        two, n2 = pair[cut], np.add.reduceat(n, cut)
+        single = two & 0xFFFFFFFF == total
+        one = single & (n2 >= least)
+        both = ~single & (two & 0xFFFFFFFF != end) & (n2 >= least)
+        all_ = (pair & 0xFFFFFFFF != total) & (third != end) & (n >= least)
+        none = np.full(int(one.sum()) + int(both.sum()), None, object)
+        w1 = np.concatenate([words[two[one] >> 32], words[two[both] >> 32], words[pair[all_] >> 32], [None]])
+        w2 = np.concatenate([none[:int(one.sum())], words[two[both] & 0xFFFFFFFF], words[pair[all_] & 0xFFFFFFFF], [None]])
+        w3 = np.concatenate([none, words[third[all_]], [None]])
+        f = np.concatenate([n2[one], n2[both], n[all_], [n2[single].sum()]])
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(f), pa.string()), **{k: pa.array(v.tolist(), pa.binary()) for k, v in (("w1", w1), ("w2", w2), ("w3", w3))},
+                         "f": pa.array(f, pa.int64())})
     return merge
 
 

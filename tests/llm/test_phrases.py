@@ -61,7 +61,7 @@ AWKWARD = [(1, None, "en"), (2, "", "fr"), (3, " .,;\n ", "es"), (None, "no id "
 @pytest.mark.parametrize("small", [False, True])
 def test_equals_brute_force(spark, monkeypatch, small):
     if small:  # containers burst, tries spill, dictionaries start anew, long pieces are cut, many prefix partitions
-        for name, value in {"BURST": 8, "ENTRIES": 500, "WORDS": 30, "CHUNK": 50, "TEXT_BYTES": 200, "PARTITION_BYTES": 3000, "SALTS": 3}.items():
+        for name, value in {"BURST": 8, "ENTRIES": 500, "WORDS": 30, "CHUNK": 50, "TEXT_BYTES": 200, "PARTITION_BYTES": 3000, "SALTS": 3, "HELD_ENTRIES": 20}.items():
             monkeypatch.setattr(P, name, value)
     rows = random_docs(400, 7) + AWKWARD
     assert got(P.collocations(P.phrase_counts(table(spark, rows)))) == brute(rows)
