@@ -201,7 +201,8 @@ SQL["recent_toxic"] = W(_card(
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import sql_more
+    from . import sql_more, sql_sources
     out = dict(SQL)
     out.update(sql_more.SQL)
+    out.update(sql_sources.SQL)
     return out

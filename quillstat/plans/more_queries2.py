@@ -212,6 +212,7 @@ def _extra_queries(enriched):
 
 def queries(enriched):
     q = {}
-    for part in (_similarity_queries, _history_queries, _extra_queries):
+    from . import more_queries3
+    for part in (_similarity_queries, _history_queries, _extra_queries, more_queries3.queries):
         q.update(part(enriched))
     return q
