@@ -32,8 +32,8 @@ def ensure_checkpoint_dir(spark: SparkSession, allow_local_default: bool = False
 
     On a cluster the directory comes from ``spark.checkpoint.dir`` (a shared
     folder).  Only when nothing is configured and ``allow_local_default`` is set
-    (tests, local runs) is a folder below the SQL warehouse taken, which the
-    executors share as well.
+    (tests, local runs in one process) is a folder below the SQL warehouse taken;
+    on a cluster that may be a folder of one machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
