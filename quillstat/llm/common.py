@@ -18,8 +18,8 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A fresh folder below the session's shared checkpoint folder."""
-    return f"{ensure_checkpoint_dir(spark, allow_local_default=True).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    """A fresh folder below the session's shared checkpoint folder; an error where ``spark.checkpoint.dir`` names none."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
 @contextmanager
