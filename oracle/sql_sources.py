@@ -6,6 +6,10 @@ SQL: dict[str, str] = {}
 
 SQL["caption_search"] = "SELECT doc_id AS id FROM documents WHERE contains(lower(text), 'an')"
 
+SQL["indexed_search"] = """
+SELECT q, doc_id FROM documents, (VALUES ('what'), ('ING A'), ('e.'), ('no such words')) v(q) WHERE contains(lower(text), lower(q))
+"""
+
 _POSTS = """
 , posts AS (SELECT post_id AS id, CAST(sum(like_count) AS BIGINT) AS like_count, count(*) AS comment_count, CAST(sum(reply_count) AS BIGINT) AS share_count,
   strftime(max(created_time), '%Y-%m-%dT%H:%M:%S+0000') AS created_time FROM enriched GROUP BY post_id)

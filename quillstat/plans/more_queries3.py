@@ -41,6 +41,16 @@ def _small(enriched) -> dict:
         posts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("message"))
         return FL.caption_search(posts, "AN").select("id")
 
+    def indexed_search(spark, sf_dir):
+        from ..operators import text_index
+        d = table(spark, sf_dir, "documents").select("doc_id", "text")
+        index = text_index.build(d, _folder(spark, "text-index"), ["doc_id"], "text")
+        out = None
+        for q in ("what", "ING A", "e.", "no such words"):
+            found = index.search(q).select(F.lit(q).alias("q"), "doc_id")
+            out = found if out is None else out.unionByName(found)
+        return out
+
     def posts_compared(spark, sf_dir):
         picked = spark.createDataFrame([("post_0",), ("post_2",), ("post_2",)], "post_id string")
         return J.select_posts(_posts(enriched(spark, sf_dir)), picked)
@@ -111,7 +121,7 @@ def _small(enriched) -> dict:
         sinks.write_json(K.reaction_mix(enriched(spark, sf_dir)), path, partition_by="post_id")
         return spark.read.schema("label string, value long, post_id string").json(path).select("post_id", "label", "value")
 
-    return {f.__name__: f for f in (caption_search, posts_compared, posts_ordered, preview_size, handled_marked, handled_cleared, filtered_flags, unanswered,
+    return {f.__name__: f for f in (caption_search, indexed_search, posts_compared, posts_ordered, preview_size, handled_marked, handled_cleared, filtered_flags, unanswered,
                                     long_comments, dashboard_table, parsed_times, short_numbers, cards, csv_round_trip, json_round_trip)}
 
 
