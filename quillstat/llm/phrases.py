@@ -370,3 +370,38 @@ def collocations(counts: DataFrame, held: int = HELD, listed: int = LISTED) -> D
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(phrase_counts(documents(spark, sf_dir)))
+
+
+#: The same by plain counting, for DuckDB.
+ORACLE = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(x, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+g1 AS (SELECT lang, unnest(ws) AS a FROM w),
+g2 AS (SELECT lang, unnest(list_transform(range(1, len(ws)), lambda i: {'a': ws[i], 'b': ws[i + 1]})) AS g FROM w),
+g3 AS (SELECT lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: {'a': ws[i], 'b': ws[i + 1], 'c': ws[i + 2]})) AS g FROM w),
+f1 AS (SELECT lang, a, count(*) AS f FROM g1 GROUP BY ALL HAVING count(*) >= 10),
+f2 AS (SELECT lang, g.a AS a, g.b AS b, count(*) AS f FROM g2 GROUP BY ALL HAVING count(*) >= 10),
+f3 AS (SELECT lang, g.a AS a, g.b AS b, g.c AS c, count(*) AS f FROM g3 GROUP BY ALL HAVING count(*) >= 10),
+longer AS (SELECT lang, a, b, max(f) AS f FROM (SELECT lang, a, b, f FROM f3 UNION ALL SELECT lang, b, c, f FROM f3) x GROUP BY ALL),
+two AS (
+  SELECT f2.lang, f2.a || ' ' || f2.b AS phrase, f2.f AS a, x.f AS l, y.f AS r,
+    CAST((CAST(1000000 AS HUGEINT) * f2.f * f2.f) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.a = f2.a JOIN f1 y ON y.lang = f2.lang AND y.a = f2.b
+  LEFT JOIN longer o ON o.lang = f2.lang AND o.a = f2.a AND o.b = f2.b
+  WHERE o.f IS NULL OR 100 * o.f < 50 * f2.f),
+cuts AS (
+  SELECT f3.lang, f3.a || ' ' || f3.b || ' ' || f3.c AS phrase, f3.f AS a, 1 AS k, x.f AS l, y.f AS r
+  FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.a = f3.a JOIN f2 y ON y.lang = f3.lang AND y.a = f3.b AND y.b = f3.c
+  UNION ALL
+  SELECT f3.lang, f3.a || ' ' || f3.b || ' ' || f3.c, f3.f, 2, x.f, y.f
+  FROM f3 JOIN f2 x ON x.lang = f3.lang AND x.a = f3.a AND x.b = f3.b JOIN f1 y ON y.lang = f3.lang AND y.a = f3.c),
+scored AS (SELECT *, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+three AS (SELECT lang, phrase, a, l, r, score FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM scored) x WHERE cut = 1),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank
+  FROM (SELECT * FROM two UNION ALL SELECT * FROM three) x)
+SELECT ranked.lang, rank, phrase, a, l, r, n.n, score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000
+"""

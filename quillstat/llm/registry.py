@@ -27,5 +27,6 @@ def oracle_sql():
     return {
         "op5_warc": warc.ORACLE,
         "op7_top_k": topk.ORACLE,
+        "op11_phrases": phrases.ORACLE,
         "op12_near_vectors": near_vectors.ORACLE,
     }
