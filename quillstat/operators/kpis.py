@@ -118,7 +118,7 @@ def top_comments_kpis(df: DataFrame, approx: bool = False) -> DataFrame:
         hist.select("post_id", F.lit("engagement_score").alias("which"), F.col("engagement_score").alias("value"), "n").filter("value is not null"),
         ["post_id"], THRESHOLDS))
     total = lambda c: F.sum(c).cast("long")
-    return hist.join(thr, "post_id", "left").groupBy("post_id").agg(
+    return per_post(hist, thr, salt_by="engagement_score").groupBy("post_id").agg(
         total("n").alias("total"),
         (F.sum("reacts") / F.sum("reacted")).cast("double").alias("avg_reacts"),
         (total("pos") * 100.0 / F.greatest(F.lit(1), total("pos") + total("neg"))).alias("positivity"),

@@ -73,7 +73,7 @@ def risks(df: DataFrame, k: int = 5, approx: bool = False) -> DataFrame:
     # first and only they meet their post's threshold.
     best = top_k(df.filter(F.col("sentiment") == "negative"), [F.col("engagement_score").desc(), F.col("cid").asc()], k)
     d = best.join(engagement_thresholds(df, approx), "post_id").filter(F.col("engagement_score") >= F.col("high_engagement"))
-    return card(d)
+    return card(d).sortWithinPartitions("post_id", "rank")  # at most k rows a post, all in one partition
 
 
 def reply_queue(df: DataFrame, k: int = 10, approx: bool = False) -> DataFrame:
