@@ -16,9 +16,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .perpost import per_post
-
+from ..session import cut_lineage
 from .kpis import count_if
+from .perpost import per_post
 from .rankings import top_k
 
 HOUR_US = 3_600_000_000
@@ -83,7 +83,7 @@ def _label(bin_col: Column, width: Column, short: bool = False) -> Column:
 
 def timeline(df: DataFrame) -> DataFrame:
     """WIN2: zero-filled counts per bin.  Rows: post_id, idx, t, count, width_s."""
-    runs = _with_gaps(bin_counts(df))
+    runs = _with_gaps(cut_lineage(bin_counts(df)))
     # a gap is spelled out in pieces, so no array is longer than a piece
     at = F.col("_piece") * BLOCK_BINS
     every = runs.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("gap") / BLOCK_BINS).cast("long")))).withColumn(
@@ -158,7 +158,7 @@ def spikes(df: DataFrame, mode: str = "trailing", k: int = 8, z_min: float = 2.0
 def decay_fit(df: DataFrame) -> DataFrame:
     """WIN6: OLS of ln(max(count, 1e-6)) on bin offset from the first peak (needs
     >= 4 bins).  tau = -1/slope when slope < 0.  One tail point -> slope null (R6)."""
-    c = bin_counts(df).withColumn("idx", F.col("bin") - F.col("b0"))
+    c = cut_lineage(bin_counts(df)).withColumn("idx", F.col("bin") - F.col("b0"))  # read several times, comments once
     stats = c.groupBy("post_id").agg(
         (F.max("b1") - F.max("b0") + 1).cast("long").alias("n_bins"),
         F.min(F.struct((-F.col("count")).alias("c"), F.col("idx").alias("i"))).alias("_peak")).select("post_id", "n_bins", F.col("_peak.i").alias("peak_index"))
@@ -190,7 +190,7 @@ def decay_curve(df: DataFrame) -> DataFrame:
 
 def half_life(df: DataFrame) -> DataFrame:
     """WIN7/WIN8: first bin where the running count reaches half of all, and 10."""
-    c = bin_counts(df)
+    c = cut_lineage(bin_counts(df))
     tot = c.groupBy("post_id").agg(F.sum("count").alias("total"))
     c = _with_running(c).join(tot, "post_id").withColumn("idx", F.col("bin") - F.col("b0"))
     hrs = F.when(F.col("width_s") == 900, F.lit(0.25)).otherwise(F.lit(1.0))
