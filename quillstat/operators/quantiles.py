@@ -56,8 +56,11 @@ def _shifted(c: Column, bits: int) -> Column:
 
 
 def values_at(cells: DataFrame, by: list[str], targets: DataFrame) -> DataFrame:
-    """``targets`` (``by..., which, target, rank``; rank from 0) with ``value``: the value at that rank."""
-    cells = cut_lineage(_with_key(cells))
+    """``targets`` (``by..., which, target, rank``; rank from 0) with ``value``: the value at that rank.
+
+    ``cells`` are read several times, so they should be materialised."""
+    keyed = _with_key(cells)
+    cells = keyed if isinstance(cells.schema["value"].dataType, T.IntegralType) else cut_lineage(keyed)
     low, high = cells.agg(F.min("key"), F.max("key")).first()
     span = 0 if low is None else high - low
     if span < 1 << 62:
