@@ -3,49 +3,61 @@
 A word is the mean of the vectors of its character n-grams (and of itself), a
 text the mean of its words, and a linear softmax over the text's vector gives
 the two classes; vectors and softmax are learned together.  A misspelling that
-training never saw shares n-grams, and so vectors, with what it saw.
-
-Training takes a sample of at most ``TRAIN_DOCS`` labelled ids per class
-(smallest hash of the id first) with one row each, runs in one task and returns one number per
-n-gram bucket: the softmax is linear, so a bucket's vector enters a score only
-through its product with the class weights.  Every text is then scored whole,
-in one pass without a shuffle.
-
-Defined results: a null text, or one without words, has the score of the class
-prior; ids without a label are scored like any other; a null id counts as held
+training never saw shares n-grams, and so vectors, with what it saw.  Words are
+what stands between white space, without punctuation at their ends, so digits
+and symbols stay in them.
+
+An n-gram's vector counts by the square of its inverse document frequency, and
+every update leaves out half of each text's n-grams at random: otherwise the
+vectors learn which texts they have seen instead of what marks a class.  Classes
+have equal weight in training, and the score is the probability under equal
+classes.
+
+Training takes a sample of labelled rows whose bounds are ``TRAIN_DOCS`` ids per
+class (smallest hash of the id first), one row each, and ``TRAIN_CHARS``
+characters per class.  It runs in one task and returns one number per n-gram
+bucket: the softmax is linear, so a bucket's vector enters a score only through
+its product with the class weights.  Every text is then scored whole, in one
+pass without a shuffle.
+
+Defined results: a null text, or one without words, has the score of the bias;
+ids without a label are scored like any other; a null id counts as held
 out from training, not as ``held_out``; without labelled rows of both classes
-every score is the smoothed prior; an empty table gives an empty result.
+every score is 0.5; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
-import re
 import zlib
-from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import documents, written
 
-#: Bound of the training sample, per class.
-TRAIN_DOCS = 4000
-BUCKETS, DIM, GRAMS = 1 << 17, 8, (3, 4, 5)
-UPDATES, BATCH, RATE = 700, 64, 6.0
+#: Bounds of the training sample, per class.
+TRAIN_DOCS, TRAIN_CHARS = 4000, 20_000_000
+BUCKETS, DIM, GRAMS = 1 << 18, 8, (3, 4, 5)
+UPDATES, BATCH, RATE, DROPPED = 700, 64, 2.0, 0.5
+#: Texts that must hold an n-gram before it is learned: one text's own n-grams could only name the text.
+LEAST_TEXTS = 5
 THRESHOLD = 0.7
-#: A text of fewer words is averaged as if the missing ones had vectors of zero, so that a few words don't swing it.
-LEAST_WORDS = 64
+#: Words with a vector of zero that every text's mean counts beside its own, as in any smoothed share.
+NEUTRAL_WORDS = 32
 
-_WORD = re.compile(r"[^\W\d_]+")
+_ENDS = ".,;:!?\"'()[]{}<>\u00ab\u00bb\u2018\u2019\u201c\u201d\u2026"
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """What stands between white space, lower-cased, without punctuation at the ends."""
+    return [w for w in (x.strip(_ENDS) for x in text.lower().split()) if w]
 
 
 def parts_of(word: str) -> list[str]:
@@ -59,73 +71,89 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def _gather(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """``values[start : start + length]`` of each pair, one after the other."""
-    at = np.repeat(starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
-    return values[at + np.arange(lengths.sum())]
+def shares(text: str, buckets: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-gram buckets of a text and their shares of its mean; ``buckets`` keeps those of words already met."""
+    words = Counter(words_of(text))
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    for w in words:
+        if w not in buckets:
+            buckets[w] = np.array([zlib.crc32(p.encode()) % BUCKETS for p in parts_of(w)], np.int32)
+    n = words.total() + NEUTRAL_WORDS
+    size = np.array([len(buckets[w]) for w in words])
+    per = np.repeat(np.fromiter(words.values(), np.float64, len(words)) / (n * size), size)
+    at, place = np.unique(np.concatenate([buckets[w] for w in words]), return_inverse=True)
+    return at, np.bincount(place, per).astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], prior: float, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Log-odds of label 1 per bucket, and the bias that belongs to ``prior`` (label 1's share of all labelled rows)."""
+def gradients(emb, soft, bias, doc, gram, share, y, weight):
+    """Mean weighted loss of a batch and its gradients by n-gram vectors, softmax and bias.
+
+    Entry ``i`` says that n-gram ``gram[i]`` has ``share[i]`` of text ``doc[i]``.
+    """
+    vec = np.stack([np.bincount(doc, emb[gram, d] * share, len(y)) for d in range(emb.shape[1])], axis=1).astype(emb.dtype)
+    p = _softmax(vec @ soft + bias)
+    own = np.arange(len(y)), y
+    loss = float((-np.log(np.maximum(p[own], 1e-30)) * weight).mean())
+    err = p.copy()
+    err[own] -= 1
+    err *= (weight / len(y))[:, None]
+    to_doc = err @ soft.T
+    d_emb = np.stack([np.bincount(gram, to_doc[doc, d] * share, len(emb)) for d in range(emb.shape[1])], axis=1).astype(emb.dtype)
+    return loss, d_emb, vec.T @ err, err.sum(axis=0)
+
+
+def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
+    """Log-odds of label 1 per bucket, and the bias."""
     y = np.array(labels, dtype=np.int64)
-    n1 = int(y.sum())
-    base = math.log(prior / (1 - prior))
-    if not 0 < n1 < len(y):
-        return np.zeros(BUCKETS, np.float32), base
-    known: dict[str, int] = {}
-    flat_grams, ends = array("i"), array("i")
+    n, n1 = len(y), int(y.sum())
+    table = np.zeros(BUCKETS, np.float32)
+    if not 0 < n1 < n:
+        return table, 0.0
+    buckets: dict[str, np.ndarray] = {}
     docs = []
     for t in texts:
-        ids = []
-        for w in words_of(t):
-            k = known.get(w)
-            if k is None:
-                k = known[w] = len(ends)
-                flat_grams.extend(zlib.crc32(p.encode()) % BUCKETS for p in parts_of(w))
-                ends.append(len(flat_grams))
-            ids.append(k)
-        u, c = np.unique(np.array(ids, dtype=np.int64), return_counts=True)
-        docs.append((u.astype(np.int32), (c / max(LEAST_WORDS, len(ids))).astype(np.float32)))
-    del known
-    flat = np.frombuffer(flat_grams, np.int32) if flat_grams else np.zeros(0, np.int32)
-    g_len = np.diff(np.concatenate(([0], np.frombuffer(ends, np.int32)))) if ends else np.zeros(1, np.int64)
-    g_at = np.cumsum(g_len) - g_len
+        if len(buckets) > 200_000:
+            buckets.clear()
+        docs.append(shares(t, buckets))
+    del buckets
+    found = sum((np.bincount(at, minlength=BUCKETS) for at, _ in docs), np.zeros(BUCKETS, np.int64))
+    used = np.flatnonzero(found >= LEAST_TEXTS)
+    idf = np.log((n + 1) / (found[used] + 1)).astype(np.float32) ** 2
+    place = np.full(BUCKETS, -1, np.int32)
+    place[used] = np.arange(len(used))
+    for i, (at, share) in enumerate(docs):
+        k = place[at]
+        docs[i] = k[k >= 0], share[k >= 0] * idf[k[k >= 0]]
     rng = np.random.default_rng(seed)
-    emb = np.zeros((BUCKETS, DIM), np.float32)  # an n-gram that training never meets adds nothing
+    emb = np.zeros((len(used), DIM), np.float32)  # an n-gram that training never meets adds nothing
     soft = rng.normal(0, 1, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
-    seen_e, seen_s, seen_b = np.zeros(BUCKETS, np.float32), np.full((DIM, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
+    seen_e, seen_s, seen_b = np.zeros(len(used), np.float32), np.full((DIM, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
     floor = None
-    balance = np.array([len(y) / (2 * (len(y) - n1)), len(y) / (2 * n1)], np.float32)
+    balance = np.array([n / (2 * (n - n1)), n / (2 * n1)], np.float32)
     done = 0
     while done < UPDATES:  # as many updates for any sample size
-        order = rng.permutation(len(docs))
-        for i in range(0, len(order), BATCH):
+        order = rng.permutation(n)
+        for i in range(0, n, BATCH):
             done += 1
             part = order[i:i + BATCH]
-            which = np.repeat(np.arange(len(part)), [len(docs[k][0]) for k in part])
-            word = np.concatenate([docs[k][0] for k in part])
-            share = np.concatenate([docs[k][1] for k in part]) / g_len[word]
-            idx = _gather(flat, g_at[word], g_len[word])
-            doc, weight = np.repeat(which, g_len[word]), np.repeat(share, g_len[word])
-            vec = np.stack([np.bincount(doc, emb[idx, d] * weight, len(part)) for d in range(DIM)], axis=1).astype(np.float32)
-            p = _softmax(vec @ soft + bias)
-            err = p.copy()
-            err[np.arange(len(part)), y[part]] -= 1
-            err *= balance[y[part]][:, None] / len(part)
-            to_doc = err @ soft.T
-            d_emb = np.stack([np.bincount(idx, to_doc[doc, d] * weight, BUCKETS) for d in range(DIM)], axis=1).astype(np.float32)
+            doc = np.repeat(np.arange(len(part)), [len(docs[k][0]) for k in part])
+            gram, share = (np.concatenate([docs[k][j] for k in part]) for j in (0, 1))
+            stay = rng.random(len(gram), np.float32) >= DROPPED
+            doc, gram, share = doc[stay], gram[stay], share[stay] / (1 - DROPPED)
+            _, d_emb, d_soft, d_bias = gradients(emb, soft, bias, doc, gram, share, y[part], balance[y[part]])
             sq = (d_emb ** 2).mean(axis=1)
             seen_e += sq
             if floor is None:  # rare n-grams move in proportion to their gradients, not by full steps
                 floor = float(np.quantile(sq[sq > 0], 0.999)) if (sq > 0).any() else 1.0
             emb -= RATE * d_emb / np.sqrt(seen_e + floor)[:, None]
-            d_soft, d_bias = vec.T @ err, err.sum(axis=0)
             seen_s += d_soft ** 2
             seen_b += d_bias ** 2
             soft -= 0.1 * RATE * d_soft / np.sqrt(seen_s)
             bias -= 0.1 * RATE * d_bias / np.sqrt(seen_b)
-    return (emb @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]) + base
+    table[used] = idf * (emb @ (soft[:, 1] - soft[:, 0]))
+    return table, float(bias[1] - bias[0])
 
 
 class _Grams(dict):
@@ -160,7 +188,7 @@ class Scorer(dict):
 
     def score(self, text: str | None) -> float:
         words = words_of(text) if text else []
-        z = self.bias + sum(map(self.__getitem__, words)) / max(LEAST_WORDS, len(words))
+        z = self.bias + sum(map(self.__getitem__, words)) / (NEUTRAL_WORDS + len(words))
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
@@ -168,36 +196,37 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[DataFrame, float]:
-    """``doc_id, text, _y`` of at most ``most`` ids per class with one row each, and the share of label 1.
+def training_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> DataFrame:
+    """``doc_id, text, _y`` of at most ``most`` ids and ``chars`` characters per class with one row each.
 
-    Of several rows of one id the text of the smallest hash is taken.
+    Of several rows of one id the text of the smallest hash is taken; texts stay whole.
     """
     marks = (labels.where("doc_id is not null and toxic in (0, 1)").where(remainder(F.col("doc_id")) != 1)
              .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("_y")))
-    n = {r["_y"]: r["n"] for r in marks.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    prior = (n.get(1, 0) + 1) / (sum(n.values()) + 2)
     picked = None
     for y in (0, 1):
         some = marks.where(F.col("_y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = some if picked is None else picked.unionByName(some)
-    return (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-            .groupBy("doc_id", "_y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
-            .select("doc_id", "least.text", "_y")), prior
+    # the lengths come before the texts, so the window sorts at most 2 * most short rows
+    least = (docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "_y")
+             .agg(F.min(F.struct(F.xxhash64("text").alias("h"), F.coalesce(F.length("text"), F.lit(0)).alias("n"), "text")).alias("least")))
+    rows = written(least.select("doc_id", "_y", "least.n", "least.text"), "toxicity-sample")
+    so_far = F.sum("n").over(W.partitionBy("_y").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    within = rows.select("doc_id", "_y", "n").withColumn("so_far", so_far).where(F.col("so_far") <= chars).select("doc_id")
+    return rows.join(F.broadcast(within), "doc_id").select("doc_id", "text", "_y")
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> tuple[np.ndarray, float]:
     """The model, from labelled rows whose remainder is not 1."""
-    sample, prior = training_sample(docs, labels, most)
-    sample = written(sample, "toxicity-sample")
+    sample = training_sample(docs, labels, most)
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["doc_id", "text"], kind="stable")
-        table, bias = train(rows["text"].fillna("").tolist(), rows["_y"].tolist(), prior)
+        table, bias = train(rows["text"].fillna("").tolist(), rows["_y"].tolist())
         yield pd.DataFrame({"table": [table.tobytes()], "bias": [bias]})
 
     if sample.isEmpty():
-        return np.zeros(BUCKETS, np.float32), math.log(prior / (1 - prior))
+        return np.zeros(BUCKETS, np.float32), 0.0
     got = sample.coalesce(1).mapInPandas(fit, "table binary, bias double").first()
     return np.frombuffer(got["table"], np.float32), got["bias"]
 
