@@ -6,7 +6,9 @@ quarantined with their place and a sample of their text; good pages give their
 comments whatever happened to others.  Chains are checked by pointer jumping:
 every page's pointer doubles its reach each round, so a chain of n pages takes
 log2(n) rounds of one join; pages that still point on when everything else has
-ended are on a cycle or lead into one.
+ended are on a cycle or lead into one.  The joins of pages with pages are
+shuffled: both sides grow with the landing, and a broadcast would send one
+through the driver in every round.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ def parsed_pages(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
                  F.coalesce("p.url", "place").alias("url"), F.col("p.data").alias("data"), F.col("p.paging").alias("paging"))
     p = cut_lineage(p)
     good = p.filter("reason is null")
-    first = good.groupBy("post_id", "url").agg(F.min(F.struct((-F.size("data")).alias("n"), "place")).alias("f")).select("post_id", "url", F.col("f.place").alias("place"))
+    first = good.groupBy("post_id", "url").agg(F.min(F.struct((-F.size("data")).alias("n"), "place")).alias("f")).select("post_id", "url", F.col("f.place").alias("place")).hint("merge")
     key = ["post_id", "url", "place"]
     same = [good[c].eqNullSafe(first[c]) for c in key]
     again = good.join(first, same[0] & same[1] & same[2], "left_anti")
@@ -59,7 +61,7 @@ def chains(pages: DataFrame) -> DataFrame:
     counts it."""
     at = pages.select(F.coalesce("post_id", F.lit("")).alias("post_id"), "url", F.nullif(F.col("paging.next"), F.lit("")).alias("next"), F.size("data").cast("long").alias("n"))
     at = cut_lineage(at)
-    known = at.select("post_id", F.col("url").alias("next"), F.lit(True).alias("_known"))
+    known = at.select("post_id", F.col("url").alias("next"), F.lit(True).alias("_known")).hint("merge")
     # ptr: the page reached so far (null: the chain has ended), last: the last page seen before that
     state = at.join(known, ["post_id", "next"], "left").select(
         "post_id", "url", F.when(F.col("_known"), F.col("next")).alias("ptr"), F.lit(1).cast("long").alias("pages"), F.col("n").alias("comments"),
@@ -70,18 +72,18 @@ def chains(pages: DataFrame) -> DataFrame:
         if state.filter("ptr is not null").isEmpty():
             break
         to = state.select("post_id", F.col("url").alias("ptr"), F.col("ptr").alias("_ptr"), F.col("pages").alias("_pages"),
-                          F.col("comments").alias("_comments"), F.col("missing").alias("_missing"), F.col("least").alias("_least"))
+                          F.col("comments").alias("_comments"), F.col("missing").alias("_missing"), F.col("least").alias("_least")).hint("merge")
         state = state.join(to, ["post_id", "ptr"], "left").select(
             "post_id", "url", F.col("_ptr").alias("ptr"), (F.col("pages") + F.coalesce("_pages", F.lit(0))).alias("pages"),
             (F.col("comments") + F.coalesce("_comments", F.lit(0))).alias("comments"), F.coalesce("missing", "_missing").alias("missing"),
             F.least("least", "_least").alias("least"))
     state = cut_lineage(state)
-    pointed = at.filter("next is not null").select("post_id", F.col("next").alias("url")).distinct()
+    pointed = at.filter("next is not null").select("post_id", F.col("next").alias("url")).distinct().hint("merge")
     heads = state.join(pointed, ["post_id", "url"], "left_anti")
     ended = heads.filter("ptr is null").select("post_id", F.col("url").alias("head"), "pages", "comments",
                                                F.when(F.col("missing").isNull(), "complete").otherwise("broken").alias("status"), "missing")
     # a page that still points on after all rounds leads into a cycle: its counts went round, so they are taken from the pages themselves
-    loops = state.filter("ptr is not null").join(at.select("post_id", "url", "n"), ["post_id", "url"]).groupBy("post_id", F.col("least").alias("head")).agg(
+    loops = state.filter("ptr is not null").join(at.select("post_id", "url", "n").hint("merge"), ["post_id", "url"]).groupBy("post_id", F.col("least").alias("head")).agg(
         F.count(F.lit(1)).cast("long").alias("pages"), F.sum("n").alias("comments"))
     loops = loops.select("post_id", "head", "pages", "comments", F.lit("cyclic").alias("status"), F.lit(None).cast("string").alias("missing"))
     return ended.unionByName(loops)

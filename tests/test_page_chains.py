@@ -49,3 +49,11 @@ def test_files_and_empty_folders(spark, tmp_path):
     assert bad.first()["place"].endswith("f5.json") and bad.first()["sample"].startswith('{"url"')
     empty = spark.createDataFrame([], SCHEMA)
     assert [t.count() for t in P.ingest(empty)] == [0, 0, 0]
+
+
+def test_no_table_of_pages_goes_through_the_driver(spark):
+    rows = [("p", f"f{i}", page(f"k{i}", f"k{i + 1}" if i % 5 else None, f"c{i}")) for i in range(40)]
+    for t in P.ingest(spark.createDataFrame(rows, SCHEMA)):
+        assert "Broadcast" not in t._jdf.queryExecution().executedPlan().toString()
+    good, bad = P.parsed_pages(spark.createDataFrame(rows, SCHEMA))
+    assert "SortMergeJoin" in good._jdf.queryExecution().executedPlan().toString()
