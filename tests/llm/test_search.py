@@ -1,4 +1,6 @@
+import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -115,3 +117,39 @@ def test_ann_recall_and_scores(spark, monkeypatch):
     hit = [(q, v, s) for q, _, v, s in found if (q, v) in by]
     assert len(found) == len(want) and len(hit) >= 0.95 * len(want)
     assert all(abs(by[q, v] - s) < 1e-12 for q, v, s in hit)
+
+
+def test_ann_counts_collisions_cheaply():
+    """A query's search costs a few passes over the block's vectors, not dozens, and finds the nearest."""
+    x = np.random.default_rng(5).standard_normal((16_384, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index, q = ann.Index(x, 1.0), x[:60]
+
+    def seconds(f, times=3):
+        spent = []
+        for _ in range(times):
+            start = time.process_time()
+            out = f()
+            spent.append(time.process_time() - start)
+        return min(spent), out
+    plain, scores = seconds(lambda: [x.copy() @ v for v in q])
+    took, found = seconds(lambda: list(index.search(q, np.arange(60), 20)))
+    assert took < 3 * plain
+    hits = 0
+    for i, (at, score) in enumerate(found):
+        assert i not in at and len(set(at.tolist())) == len(at) and np.allclose(score, x[at] @ q[i], rtol=0, atol=1e-12)
+        scores[i][i] = -math.inf
+        hits += len(set(np.argsort(-scores[i])[:20].tolist()) & set(at.tolist()))
+    assert hits >= 0.95 * 60 * 20
+
+
+def test_ann_queries_at_the_mean_and_copies():
+    """Blocks whose queries lie at the mean, or that hold one vector only, end and find all."""
+    r = np.random.default_rng(6)
+    x = np.concatenate([np.ones((300, 8)), r.standard_normal((300, 8)) * 1e-3 + 1, np.ones((1, 8)) * 50])
+    for block in (x, x[:300], x[-1:]):
+        index = ann.Index(block, float(np.sqrt((block ** 2).sum(axis=1).max())))
+        for i, (at, score) in enumerate(index.search(block[:40], np.arange(len(block[:40])), 20)):
+            want = np.sort(np.delete(block @ block[i], i))[::-1][:20]
+            assert i not in at and np.allclose(np.sort(score)[::-1][:20], want, rtol=1e-3)
+            assert len(at) >= min(20, len(block) - 1)
