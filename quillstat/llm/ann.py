@@ -43,6 +43,8 @@ PAGES = 256
 #: First half-width of a window as a share of the query's distance from the mean, its growth,
 #: and the chance of a collision that the ``k`` best must have when the windows stop.
 FIRST, GROWTH, CHANCE = 0.2, 1.15, 0.66
+#: Vectors of a block that a query verifies at least: smaller blocks are searched whole, as chances tell little there.
+LEAST = 512
 SEED = 20
 _ROOT2 = math.sqrt(2)
 
@@ -99,9 +101,9 @@ class Index:
                 new = np.flatnonzero((count >= COLLISIONS) & ~checked)
                 checked[new] = True
                 found, score = np.concatenate([found, new]), np.concatenate([score, self.x.take(new, axis=0) @ q[i]])
-                if whole:
+                if whole or checked.all():
                     break
-                if len(score) >= k:
+                if len(score) >= max(k, LEAST):
                     top_k = np.argpartition(score, len(score) - k)[len(score) - k:]
                     near = score[top_k] / (norm[i] * self.top)
                     # as seen from the mean: how far the farthest of the k falls short of the query, and off its line

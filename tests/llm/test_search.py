@@ -153,3 +153,10 @@ def test_ann_queries_at_the_mean_and_copies():
             want = np.sort(np.delete(block @ block[i], i))[::-1][:20]
             assert i not in at and np.allclose(np.sort(score)[::-1][:20], want, rtol=1e-3)
             assert len(at) >= min(20, len(block) - 1)
+
+
+def test_ann_searches_small_blocks_whole(spark):
+    """500 rows without structure: the nearest are barely nearer than the rest, and all of them are found."""
+    rows = vectors(500, dim=64, seed=7)
+    want = brute(usable(rows), 20, float)
+    assert {(q, r, v) for q, r, v, _ in got(ann.nearest(table(spark, rows)))} == {(q, r, v) for q, r, v, _ in want}
