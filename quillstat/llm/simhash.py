@@ -7,7 +7,9 @@ fingerprints that link lie within ``max_bits`` there.  The join runs over the
 unit grid of the vectors: any two vectors within distance 2 have a grid point
 within distance 1 of both, so every fingerprint is entered at its own point and
 its neighbours, points are joined, and each pair is verified by its exact bit
-distance.  Equal fingerprints are one node throughout.
+distance.  Equal fingerprints are one node throughout.  Joins are shuffled: both
+sides grow with the documents, and Spark sizes what comes from an explode or a
+written table many times too low to broadcast it safely.
 
 Defined results: a null or empty text has fingerprint 0 and links like any
 other; fewer words than a shingle make one shingle of all of them; repeated
@@ -91,7 +93,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     at = fps.select("_fp", F.explode(grid_points(segment_popcounts(F.col("_fp")))).alias("point"))
     a, b = at.select("point", F.col("_fp").alias("u")), at.select("point", F.col("_fp").alias("v"))
     near = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_bits)
-    return a.join(b, "point").where(near).select("u", "v").distinct()
+    return a.join(b.hint("merge"), "point").where(near).select("u", "v").distinct()
 
 
 def groups(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
@@ -103,15 +105,15 @@ def groups(prints: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("_fp")))
     nodes = written(prints.groupBy("_fp").agg(first.alias("first")), "fingerprints")
     roots = components(links(nodes, max_bits))
-    placed = nodes.join(roots, nodes["_fp"] == roots["node"], "left").select("_fp", "first", F.coalesce("root", "_fp").alias("root"))
+    placed = nodes.join(roots.hint("merge"), nodes["_fp"] == roots["node"], "left").select("_fp", "first", F.coalesce("root", "_fp").alias("root"))
     firsts = placed.groupBy("root").agg(F.min("first").alias("f"))
-    return written(placed.join(firsts, "root").select("_fp", F.col("f.doc_id").alias("component_id"), F.col("f._fp").alias("keep_fp")), "groups")
+    return written(placed.join(firsts.hint("merge"), "root").select("_fp", F.col("f.doc_id").alias("component_id"), F.col("f._fp").alias("keep_fp")), "groups")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row."""
     prints = written(with_fingerprint(docs, ["doc_id"], shingle, "_fp"), "prints")
-    return prints.join(groups(prints, max_bits), "_fp").select(
+    return prints.join(groups(prints, max_bits).hint("merge"), "_fp").select(
         "doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -121,7 +123,7 @@ def first_of_each(docs: DataFrame, shingle: int = SHINGLE_WORDS, max_bits: int =
     keep = groups(prints.select("doc_id", F.col(_PRINT).alias("_fp")), max_bits).where("_fp = keep_fp").select(
         F.col("component_id").alias("__id"), F.col("_fp").alias("__of"))
     again = W.partitionBy("doc_id", _PRINT).orderBy(F.lit(0))
-    return (prints.join(keep, (prints[_PRINT] == keep["__of"]) & prints["doc_id"].eqNullSafe(keep["__id"]), "left_semi")
+    return (prints.join(keep.hint("merge"), (prints[_PRINT] == keep["__of"]) & prints["doc_id"].eqNullSafe(keep["__id"]), "left_semi")
             .withColumn("__again", F.row_number().over(again)).where("__again = 1").select(*docs.columns))
 
 
