@@ -12,7 +12,9 @@ most frequent first word is dealt to all partitions; the total of a first word
 goes out with its subtree.  The runs of a prefix partition are merged by one
 task, which knows every count of its two-word phrases by then, and only phrases
 that reach the least count go on.  The number of partitions grows with the
-text, so a task's merge does not.
+text, so a task's merge does not.  Phrases meet phrases and words in shuffled
+joins: written phrases are held in far fewer bytes than a broadcast of them
+takes, and a salted table is sized as if it had one salt.
 
 Scores are exact: products are decimals of 38 digits.
 
@@ -334,7 +336,7 @@ def _with_count(t: DataFrame, words: DataFrame, on: str, name: str) -> DataFrame
     """Counts of single words beside phrases; a frequent word's phrases are dealt to ``SALTS`` keys."""
     salted = words.select(F.col("lang"), F.col("w1").alias(on), F.col("f").alias(name), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     return (t.withColumn("_salt", F.pmod(F.xxhash64("w1", "w2", "w3"), F.lit(SALTS)).cast("int"))
-            .join(salted, ["lang", on, "_salt"]).drop("_salt"))
+            .join(salted.hint("merge"), ["lang", on, "_salt"]).drop("_salt"))
 
 
 def _score(a: str, left: str, right: str):
@@ -351,12 +353,12 @@ def collocations(counts: DataFrame, held: int = HELD, listed: int = LISTED) -> D
     three = counts.where("w3 is not null")
     longer = (three.select("lang", "w1", "w2", "f").unionByName(three.select("lang", F.col("w2").alias("w1"), F.col("w3").alias("w2"), "f"))
               .groupBy("lang", "w1", "w2").agg(F.max("f").alias("longer")))
-    pairs = two.join(longer, ["lang", "w1", "w2"], "left").where(
+    pairs = two.join(longer.hint("merge"), ["lang", "w1", "w2"], "left").where(
         F.coalesce(100 * F.col("longer").cast("decimal(38,0)") < held * F.col("f").cast("decimal(38,0)"), F.lit(True))).withColumnRenamed("f", "a")
     pairs = _with_count(_with_count(pairs, one, "w1", "l"), one, "w2", "r").withColumn("score", _score("a", "l", "r"))
     head = two.withColumnRenamed("f", "head")
     tail = two.select("lang", F.col("w1").alias("w2"), F.col("w2").alias("w3"), F.col("f").alias("tail"))
-    triples = (three.withColumnRenamed("f", "a").join(head.drop("w3"), ["lang", "w1", "w2"]).join(tail, ["lang", "w2", "w3"]))
+    triples = (three.withColumnRenamed("f", "a").join(head.drop("w3").hint("merge"), ["lang", "w1", "w2"]).join(tail.hint("merge"), ["lang", "w2", "w3"]))
     triples = _with_count(_with_count(triples, one, "w1", "first"), one, "w3", "last")
     cuts = F.array_sort(F.array(F.struct(_score("a", "first", "tail").alias("score"), F.lit(1).alias("k"), F.col("first").alias("l"), F.col("tail").alias("r")),
                                 F.struct(_score("a", "head", "last").alias("score"), F.lit(2).alias("k"), F.col("head").alias("l"), F.col("last").alias("r"))))
@@ -365,7 +367,7 @@ def collocations(counts: DataFrame, held: int = HELD, listed: int = LISTED) -> D
     every = pairs.select(*columns).unionByName(triples.select(*columns))
     order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = every.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= listed)
-    return best.join(n, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    return best.join(n.hint("merge"), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

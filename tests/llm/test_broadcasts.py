@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quillstat.llm import components, simhash
+from quillstat.llm import components, phrases, simhash
 
 
 def plan(df):
@@ -43,3 +43,13 @@ def test_links_of_a_chain_are_shuffled(spark, monkeypatch):
     links = spark.range(20).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v"))
     assert {(r["node"], r["root"]) for r in components.components(links).collect()} == {(i, 0) for i in range(1, 21)}
     assert any("SortMergeJoin" in p for p in plans) and not [p for p in plans if "Broadcast" in p]
+
+
+def test_phrases_meet_salted_words_in_a_shuffle(spark):
+    texts = [("en", "new york city is new york city again. old york")] * 12 + [(None, "la paz la paz la paz")] * 11
+    docs = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    out = phrases.collocations(phrases.phrase_counts(docs))
+    text = plan(out)
+    assert text.count("SortMergeJoin") >= 8 and "Broadcast" not in text
+    got = {(r["lang"], r["phrase"]): (r["a"], r["l"], r["r"], r["n"]) for r in out.collect()}
+    assert got["en", "old york"] == (12, 12, 36, 120) and got["und", "la paz la"][0] == 22
