@@ -53,3 +53,11 @@ def test_phrases_meet_salted_words_in_a_shuffle(spark):
     assert text.count("SortMergeJoin") >= 8 and "Broadcast" not in text
     got = {(r["lang"], r["phrase"]): (r["a"], r["l"], r["r"], r["n"]) for r in out.collect()}
     assert got["en", "old york"] == (12, 12, 36, 120) and got["und", "la paz la"][0] == 22
+
+
+def test_the_pipeline_drops_near_copies_without_broadcasts(spark, monkeypatch):
+    import corpus_pipeline
+    plans = recorded(monkeypatch, simhash, components)
+    out = corpus_pipeline.drop_near_copies(spark, near_copies(spark), "")
+    plans.append(plan(out))
+    assert out.count() < 40 and not [p for p in plans if "Broadcast" in p]
