@@ -61,3 +61,11 @@ def test_the_pipeline_drops_near_copies_without_broadcasts(spark, monkeypatch):
     out = corpus_pipeline.drop_near_copies(spark, near_copies(spark), "")
     plans.append(plan(out))
     assert out.count() < 40 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_links_of_a_hub_are_dealt_to_several_keys(spark, monkeypatch):
+    plans = recorded(monkeypatch, components)
+    links = spark.range(1, 200).select((F.col("id") + 1000).alias("u"), F.lit(7).cast("long").alias("v"))
+    assert {(r["node"], r["root"]) for r in components.components(links).collect()} == {(i + 1000, 7) for i in range(1, 200)}
+    joins = [p for p in plans if "SortMergeJoin" in p]
+    assert joins and all("_salt" in line for p in joins for line in p.splitlines() if "SortMergeJoin" in line)
